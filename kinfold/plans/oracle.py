@@ -14,5 +14,5 @@ SQL = {
 HAVING count(*) >= 0.01 * (SELECT count(*) FROM commits)""",
     "p4_keys": _P4
     + """SELECT field, k AS key, count(*) AS n_rows, count(DISTINCT r) AS n_repositories,
-  min(w) AS first_when, max(w) AS last_when FROM u WHERE k IS NOT NULL GROUP BY field, k""",
+  timezone('UTC', min(w)) AS first_when, timezone('UTC', max(w)) AS last_when FROM u WHERE k IS NOT NULL GROUP BY field, k""",
 }
