@@ -46,10 +46,20 @@ m AS (SELECT * FROM bare WHERE be <> '' AND be NOT IN ({_listed(NO_EMAIL)})
 g AS (SELECT external_id_provider, external_id FROM bare GROUP BY ALL HAVING count(*) >= 2)
 """
 
+_P5 = """
+WITH u AS (
+  SELECT 'commit_author_name' AS field, row_ix, unnest(string_split(commit_author_name, ' ')) AS term FROM commits
+  UNION ALL SELECT 'commit_author_email', row_ix, commit_author_email FROM commits),
+s AS (SELECT field, term, count(*) AS n_occurrences, count(DISTINCT row_ix) AS n_records FROM u WHERE term <> '' GROUP BY ALL),
+m AS (SELECT *, CASE WHEN n_records >= 0.01 * (SELECT count(*) FROM commits) THEN 'common' WHEN n_records <= 2 THEN 'rare' END AS mark FROM s)
+"""
+
 SQL: dict[str, str] = {
     "p1_found": _P1,
     "p7_found": _P7
     + "SELECT external_id_provider, external_id, n.id AS name_id, m.id AS email_id FROM g LEFT JOIN n USING (external_id_provider, external_id) LEFT JOIN m USING (external_id_provider, external_id)",
     "p7_records": _P7
     + "SELECT external_id_provider, external_id, n.id AS name_id, m.id AS email_id, n.primary_name, m.primary_email FROM g LEFT JOIN n USING (external_id_provider, external_id) LEFT JOIN m USING (external_id_provider, external_id)",
+    "p5_found": _P5 + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
+    "p5_terms": _P5 + "SELECT * FROM m",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import groups, survivors
+from kinfold.llm import bpe, groups, lookalike, survivors, terms
 from kinfold.session import table
 
 
@@ -23,4 +23,35 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
     return survivors.account_survivors(table(spark, d, "people"), table(spark, d, "record_origins"))
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_records": p7_records}
+NAME_TERMS = {"commit_author_name": terms.words, "commit_author_email": terms.whole}
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of stored author names that show the same text."""
+    return lookalike.same_look_pairs(table(spark, d, "commits"), "commit_author_name")
+
+
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every stored author name and its one form."""
+    return lookalike.canonical_values(table(spark, d, "commits"), "commit_author_name")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The terms too rare or too common to tell authors apart."""
+    return p5_terms(spark, d).where(F.col("mark").isNotNull()).select("field", "term", "mark")
+
+
+def p5_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences, rows and mark of every term."""
+    return terms.marked_terms(table(spark, d, "commits"), NAME_TERMS)
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The token ids of every document."""
+    return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms, "p5_found": p5_found, "p5_terms": p5_terms,
+    "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids,
+}
