@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import bpe, groups, lookalike, survivors, terms
+from kinfold.llm import bpe, groups, lookalike, spans, survivors, terms
 from kinfold.session import table
 
 
@@ -51,7 +51,20 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of characters that also stand in another document, in stretches of at least 200."""
+    return spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """For every document with shared text: its number of runs, shared characters and length."""
+    sizes = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    runs = p10_found(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("n_shared"))
+    return runs.join(sizes, "doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms, "p5_found": p5_found, "p5_terms": p5_terms,
     "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids,
+    "p10_found": p10_found, "p10_coverage": p10_coverage,
 }
