@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import bpe, groups, lookalike, spans, survivors, terms
+from kinfold.llm import bpe, groups, leaks, lookalike, spans, survivors, terms
 from kinfold.session import table
 
 
@@ -51,6 +51,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that repeat at least half of an item's words, with the item."""
+    return p9_shares(spark, d).select("doc_id", "item_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked items of each document and the part of the item's words it repeats."""
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """The runs of characters that also stand in another document, in stretches of at least 200."""
     return spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
@@ -66,5 +76,5 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms, "p5_found": p5_found, "p5_terms": p5_terms,
     "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids,
-    "p10_found": p10_found, "p10_coverage": p10_coverage,
+    "p9_found": p9_found, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage,
 }
