@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import bpe, groups, leaks, lookalike, spans, survivors, terms
+from kinfold.llm import bpe, groups, leaks, lookalike, spans, spellings, survivors, terms
 from kinfold.session import table
 
 
@@ -26,6 +26,20 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
 NAME_TERMS = {"commit_author_name": terms.words, "commit_author_email": terms.whole}
 
 
+def _nobodys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "filter_lists").where(F.col("list_name").isin("names", "popular_names")).select(F.lower("entry").alias("entry"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of stored author names that are spellings of the same person or organisation."""
+    return spellings.spelling_pairs(table(spark, d, "commits"), "commit_author_name", "commit_author_email", _nobodys(spark, d))
+
+
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every stored author name with several spellings, its one form and its entity."""
+    return spellings.spelling_entities(table(spark, d, "commits"), "commit_author_name", "commit_author_email", _nobodys(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of stored author names that show the same text."""
     return lookalike.same_look_pairs(table(spark, d, "commits"), "commit_author_name")
@@ -74,7 +88,8 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms, "p5_found": p5_found, "p5_terms": p5_terms,
+    "p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities,
+    "p3_found": p3_found, "p3_forms": p3_forms, "p5_found": p5_found, "p5_terms": p5_terms,
     "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids,
     "p9_found": p9_found, "p9_shares": p9_shares, "p10_found": p10_found, "p10_coverage": p10_coverage,
 }
