@@ -58,7 +58,15 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/kinfold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _forget_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinfold_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a :func:`written` table that nothing reads any more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._kinfold_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
