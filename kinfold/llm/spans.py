@@ -1,19 +1,19 @@
 """Exact spans of at least ``length`` characters that stand in more than one record.
 
 Windows are doubled level by level: only windows that repeat at one length are
-looked at with twice the length (25, 50, 100, 200 for ``length`` 200).
+looked at with twice the length (50, 100, 200 for ``length`` 200).
 
-* The first level is thinned without loss: of any 176 windows of 25 characters
+* The first level is thinned without loss: of any 151 windows of 50 characters
   in a row the one of smallest hash is an *anchor*, so every stretch of 200
   characters holds an anchor, at the same place in every copy.
 * An anchor that stands in one record only is dropped. One whose whole
-  surroundings (375 characters, all stretches of 200 around it) repeat in
+  surroundings (350 characters, all stretches of 200 around it) repeat in
   another record is settled at once: everything around it is shared.
 * The rest lie near the end of a copied span. Their surroundings are fetched
   and the windows to the left and right of the anchor doubled: a shared stretch
   of 200 around an anchor holds the 100 characters from the anchor on or the 100
-  up to its end, so only sides that repeat at 50 and at 100 are tried at 200, on
-  the characters themselves.
+  up to its end, so only where one of these repeats the stretches of 200 are
+  compared.
 
 Aggregates carry the smallest and largest record of a window, never its list of
 records, so a span copied into a third of all records is a few rows per task.
@@ -25,15 +25,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from kinfold.session import ship, written
+from kinfold.session import discard, ship, written
 
 OUTSIDE = 0x110000  # stands for the places before and after a text
 BLOCK = 1 << 19
-BROADCAST_KEYS = 2_000_000  # 8 bytes each
+BROADCAST_KEYS = 1_000_000  # 8 bytes each; wider rows count fourfold
 GROUP_LIMIT = 20_000
 
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -41,13 +40,13 @@ _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E
 
 @dataclass(frozen=True)
 class Levels:
-    """Window lengths derived from the length of a span: ``length`` is eight times ``base``."""
+    """Window lengths derived from the length of a span: ``length`` is four times ``base``."""
 
     length: int = 200
 
     @property
     def base(self) -> int:
-        return self.length // 8
+        return self.length // 4
 
     @property
     def reach(self) -> int:
@@ -188,47 +187,98 @@ def _surroundings(levels: Levels):
     return cut
 
 
-def _double_sides(pdf: pd.DataFrame, levels: Levels) -> pd.DataFrame:
-    """The shared stretch around the anchor of each class of surroundings: how far it goes to the left and to the right."""
-    base, n = levels.base, levels.length
-    ctx, at = pdf["ctx"].tolist(), pdf["at"].tolist()
-    low, high = pdf["low"].tolist(), pdf["high"].tolist()
-
-    def repeated(windows: list[str | None]) -> list[bool]:
-        """Which windows stand in more than one record."""
-        seen: dict[str, list] = {}
-        for window, a, b in zip(windows, low, high):
-            if window is not None:
-                s = seen.get(window)
-                if s is None:
-                    seen[window] = [a, b]
-                else:
-                    s[0], s[1] = min(a, s[0]), max(b, s[1])
-        return [window is not None and seen[window][0] != seen[window][1] for window in windows]
-
-    def cut(i: int, begin: int, size: int) -> str | None:
-        return ctx[i][begin : begin + size] if begin >= 0 and begin + size <= len(ctx[i]) else None
-
-    rows = range(len(ctx))
-    right, left = [True] * len(ctx), [True] * len(ctx)
-    for k in (2 * base, 4 * base):
-        right = repeated([cut(i, at[i], k) if right[i] else None for i in rows])
-        left = repeated([cut(i, at[i] + base - k, k) if left[i] else None for i in rows])
-    most_left, least_left = [-1] * len(ctx), [n] * len(ctx)
-    for back in range(levels.reach + 1):
-        need_left, need_right = back >= 3 * base, n - back >= 4 * base
-        if found := [i for i in rows if (right[i] or not need_right) and (left[i] or not need_left) and at[i] >= back and at[i] - back + n <= len(ctx[i])]:
-            windows: list[str | None] = [None] * len(ctx)
-            for i in found:
-                windows[i] = ctx[i][at[i] - back : at[i] - back + n]
-            for i, shared in enumerate(repeated(windows)):
-                if shared:
-                    most_left[i], least_left[i] = max(most_left[i], back), min(least_left[i], back)
-    keep = [i for i in rows if most_left[i] >= 0]
-    return pd.DataFrame({
-        "h": pdf["h"].iloc[keep].to_numpy(), "w": pdf["w"].iloc[keep].to_numpy(),
-        "left": np.array([most_left[i] for i in keep], dtype=np.int32), "right": np.array([n - least_left[i] for i in keep], dtype=np.int32),
-    })
+def _repeated(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which windows stand in more than one record: of each key the smallest and largest record differ."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    begins = np.flatnonzero(first)
+    more = np.minimum.reduceat(low[order], begins) != np.maximum.reduceat(high[order], begins)
+    out = np.empty(len(keys), dtype=bool)
+    out[order] = more[np.cumsum(first) - 1]
+    return out
+
+
+def double_sides(group: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, ctx: list[str], levels: Levels) -> tuple[np.ndarray, np.ndarray]:
+    """For each class of surroundings how far the shared stretch goes to the left and right of its anchor; -1 if there is none.
+
+    Classes of one ``group`` have the same anchor; whole groups must be given.
+    """
+    base, reach, n = levels.base, levels.reach, levels.length
+    codes = np.full((len(ctx), base + 2 * reach), OUTSIDE, dtype=np.uint32)  # every anchor begins in column `reach`
+    begin = reach - at
+    end = begin.copy()
+    for i, text in enumerate(ctx):
+        own = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        end[i] += len(own)
+        codes[i, begin[i] : end[i]] = own
+    h, k = _mixed(codes.astype(np.uint64) * _M1 + _M4), 1
+    salt = _mixed((group.astype(np.int64).view(np.uint64) + np.uint64(1)) * _M2)
+
+    def doubled_to(size: int) -> None:
+        nonlocal h, k
+        while 2 * k <= size:
+            h = h[:, :-k] * _M3 + h[:, k:]
+            h, k = _mixed(h), 2 * k
+
+    def window(rows: np.ndarray, column: np.ndarray | int, size: int) -> np.ndarray:
+        return _mixed(_mixed(h[rows, column] * _M4 + h[rows, column + size - k]) * _M3 + salt[rows])
+
+    doubled_to(2 * base)
+    alive = np.zeros(len(ctx), dtype=bool)
+    for side, column in enumerate((reach, reach - base)):
+        rows = np.flatnonzero((begin <= column) & (column + 2 * base <= end))
+        if len(rows):
+            alive[rows] |= _repeated(window(rows, column, 2 * base) + np.uint64(side), low[rows], high[rows])
+    left = np.full(len(ctx), -1, dtype=np.int32)
+    right = np.full(len(ctx), -1, dtype=np.int32)
+    rows = np.flatnonzero(alive)
+    if len(rows):
+        doubled_to(n)
+        back = np.arange(reach + 1)
+        r, b = (x.ravel() for x in np.meshgrid(rows, back, indexing="ij"))
+        inside = (begin[r] <= reach - b) & (reach - b + n <= end[r])
+        r, b = r[inside], b[inside]
+        if len(r):
+            shared = _repeated(window(r, reach - b, n) + b.astype(np.uint64) * _M1, low[r], high[r])
+            r, b = r[shared], b[shared].astype(np.int32)
+            least = np.full(len(ctx), n, dtype=np.int32)
+            np.maximum.at(left, r, b)
+            np.minimum.at(least, r, b)
+            right[r] = n - least[r]
+    return left, right
+
+
+def _doubling(levels: Levels, at_once: int = 4096):
+    """(h, w, left, right) of surroundings that come sorted by ``h``."""
+
+    def double(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def leave(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts)
+            h, w, low, high, at = (t.column(i).to_numpy() for i in range(5))
+            left, right = double_sides(h, low, high, at.astype(np.int64), t.column(5).to_pylist(), levels)
+            keep = left >= 0
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, w, left, right)], names=["h", "w", "left", "right"])
+
+        kept: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            while batch.num_rows:
+                h = batch.column(0).to_numpy()
+                if size >= at_once and h[0] != kept[-1].column(0)[-1].as_py():
+                    yield leave(kept)
+                    kept, size = [], 0
+                # up to the first new anchor after `at_once` rows
+                new = np.flatnonzero(h[1:] != h[:-1]) + 1
+                new = new[new >= max(1, at_once - size)]
+                cut = int(new[0]) if len(new) else batch.num_rows
+                kept.append(batch.slice(0, cut))
+                size += cut
+                batch = batch.slice(cut)
+        if kept:
+            yield leave(kept)
+
+    return double
 
 
 def _spread(ctx: DataFrame, levels: Levels) -> DataFrame:
@@ -244,16 +294,21 @@ def _spread(ctx: DataFrame, levels: Levels) -> DataFrame:
     )
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, broadcast only if it is counted to be small."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 200, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(``id_col``, ``start_pos``, ``end_pos``): each longest unbroken run of characters that lie in a shared stretch.
 
-    A stretch of ``length`` characters (a multiple of 8) is shared if it stands,
+    A stretch of ``length`` characters (a multiple of 4) is shared if it stands,
     exactly, in a record with another id. Positions count code points from 0,
     the end is exclusive. Null texts and texts shorter than ``length`` have no
     run; a text repeated under its own id is not shared by that.
     """
-    if length % 8:
-        raise ValueError("length must be a multiple of 8")
+    if length % 4:
+        raise ValueError("length must be a multiple of 4")
     spark, levels = df.sparkSession, Levels(length)
     ship(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= length)
@@ -261,21 +316,24 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 200, g
 
     repeated = found.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where(F.col("a") != F.col("b")).select("h")
     repeated = written(repeated, "repeated")
-    some = F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated
-    live = written(found.join(some, "h", "left_semi"), "live")
+    live = written(found.join(_small(repeated), "h", "left_semi"), "live")
+    discard(found)
 
-    classes = written(live.groupBy("h", "w").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "first")).alias("one")), "classes")
+    classes = written(live.groupBy("h", "w").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("first", "id").alias("first")), "classes")
     settled = classes.where(F.col("low") != F.col("high")).select("h", "w", F.lit(levels.reach).alias("left"), F.lit(length).alias("right"))
-    open_groups = classes.where(F.col("low") == F.col("high")).select("h").distinct()
-    open_classes = classes.join(open_groups, "h", "left_semi")
-    wanted = open_classes.groupBy(F.col("one.id").alias("id")).agg(F.collect_list(F.struct("h", "w", "low", "high", F.col("one.first").alias("first"))).alias("wanted"))
-    ctx = docs.join(wanted, "id").select("text", "wanted").mapInArrow(_surroundings(levels), "h long, w long, low long, high long, at int, ctx string")
-    ctx = written(ctx, "surroundings")
-    big = ctx.groupBy("h").count().where(F.col("count") > group_limit).select("h")
-    big = written(big, "big")
-    schema = "h long, w long, left int, right int"
-    ends = ctx.join(big, "h", "left_anti").groupBy("h").applyInPandas(lambda pdf: _double_sides(pdf, levels), schema)
-    if big.limit(1).count():
+    sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.max(F.col("low") == F.col("high")).alias("open"))
+    sizes = written(sizes.where("open and size > 1").select("h", "size"), "open")
+    request = F.struct("h", "w", "low", "high", "first")
+    wanted = classes.join(sizes, "h", "left_semi").groupBy(F.col("low").alias("id")).agg(F.collect_list(request).alias("wanted"))
+    wanted = written(wanted, "wanted")
+    n_wanted = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    ctx = docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_KEYS // 4 else wanted, "id").select("text", "wanted")
+    ctx = ctx.mapInArrow(_surroundings(levels), "h long, w long, low long, high long, at int, ctx string")
+    big = sizes.where(F.col("size") > group_limit).select("h")
+    some_big = big.limit(1).count() > 0
+    usual = ctx.join(F.broadcast(big), "h", "left_anti") if some_big and big.count() <= BROADCAST_KEYS else ctx.join(big, "h", "left_anti") if some_big else ctx
+    ends = usual.repartition("h").sortWithinPartitions("h").mapInArrow(_doubling(levels), "h long, w long, left int, right int")
+    if some_big:
         ends = ends.union(_spread(ctx.join(big, "h", "left_semi"), levels))
     # a settled class is shared as far as a stretch can reach, so what its group found for it adds nothing
     reached = settled.union(ends.join(settled, ["h", "w"], "left_anti"))
