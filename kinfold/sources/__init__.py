@@ -1 +1 @@
-
+"""Where signatures come from and where results go."""
