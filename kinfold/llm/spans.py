@@ -304,14 +304,14 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 200, g
 
     A stretch of ``length`` characters (a multiple of 4) is shared if it stands,
     exactly, in a record with another id. Positions count code points from 0,
-    the end is exclusive. Null texts and texts shorter than ``length`` have no
-    run; a text repeated under its own id is not shared by that.
+    the end is exclusive. Null texts, texts shorter than ``length`` and
+    records without an id have no run; a text repeated under its own id is not shared by that.
     """
     if length % 4:
         raise ValueError("length must be a multiple of 4")
     spark, levels = df.sparkSession, Levels(length)
     ship(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= length)
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where((F.length("text") >= length) & F.col("id").isNotNull())
     found = written(docs.mapInArrow(_find_anchors(levels, id_col), "h long, w long, id long, first int, last int, n int"), "anchors")
 
     repeated = found.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where(F.col("a") != F.col("b")).select("h")
