@@ -33,7 +33,7 @@ from kinfold.session import discard, ship, written
 OUTSIDE = 0x110000  # stands for the places before and after a text
 BLOCK = 1 << 19
 BROADCAST_KEYS = 1_000_000  # 8 bytes each; wider rows count fourfold
-GROUP_LIMIT = 20_000
+GROUP_LIMIT = 8_000
 
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
