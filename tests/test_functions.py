@@ -14,7 +14,7 @@ def apply(spark, f, values, kind="string"):
 
 def test_clean(spark):
     cases = {
-        "  Máximo \t Ω ": "maximo ω", "Dév  1": "dev 1", "a　b c": "a b c", "ΟΔΟΣ": "οδοσ", "é": "e", "Ångström": "angstrom",
+        "  Máximo \t Ω ": "maximo ω", "Dév  1": "dev 1", "a\u3000b\u00a0c": "a b c", "ΟΔΟΣ": "οδοσ", "e\u0301": "e", "Ångström": "angstrom",
         "": "", "   ": "", "İ": "i", "𝔘 x": "𝔘 x", "ﬁ": "ﬁ",
     }
     assert apply(spark, C.clean, [*cases, None]) == [*cases.values(), None]
