@@ -51,10 +51,15 @@ class Run:
     def signatures(self) -> DataFrame:
         return self._once("signatures", lambda: S.cleaned(self.raw))
 
+    @property
+    def stored_signatures(self) -> DataFrame:
+        """``signatures`` written once: numbering and the primary values pass over them several times."""
+        return self._once("stored signatures", lambda: written(self.signatures, "signatures"))
+
     @property
     def people(self) -> DataFrame:
         def make() -> DataFrame:
-            people = people_from(self.signatures, self.settings.lists)
+            people = people_from(self.stored_signatures, self.settings.lists)
             return external.with_accounts(people, self.matches, check=False) if self.matches is not None else people.withColumn("external_id", F.lit(""))
 
         return self._once("people", make)
@@ -94,7 +99,7 @@ class Run:
     def primary(self, column: str) -> DataFrame:
         """(id, value) of the primary name or address of each identity."""
         rows = _value_rows(self.stored_people, self.labels, column)
-        stats = frequency.frequencies(self.signatures, column, self.settings.cutoff)
+        stats = frequency.frequencies(self.stored_signatures, column, self.settings.cutoff)
         return frequency.primary_values(rows, stats, self.settings.min_count)
 
     def identities(self) -> DataFrame:

@@ -54,7 +54,9 @@ def cleaned(signatures: DataFrame) -> DataFrame:
 
     The same rule holds for every source, so a run from the cache gives what the run that wrote it gave.
     """
-    df = signatures.withColumns({"name": clean(F.col("name")), "email": clean(F.col("email"))})
+    once = F.explode(F.array(F.struct(clean(F.col("name")).alias("name"), clean(F.col("email")).alias("email"))))
+    # generated, not projected: the many predicates over the two would each be given a copy of the long expression
+    df = signatures.select("repo", "hash", "ts", "row_ix", once.alias("c")).select("repo", "c.name", "c.email", "hash", "ts", "row_ix")
     return df.where("repo <> '' AND name <> '' AND email <> '' AND hash <> '' AND ts IS NOT NULL")
 
 
