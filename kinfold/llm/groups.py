@@ -88,7 +88,7 @@ def _grid_round(edges: DataFrame, blocks: int) -> DataFrame:
     n_cells = blocks * (blocks + 1) // 2
     return (
         edges.select(cell.alias("cell"), "src", "dst")
-        .repartition(min(n_cells, max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))) if n_cells < 64 else n_cells, "cell")
+        .repartition(n_cells, "cell")
         .sortWithinPartitions("cell")
         .mapInArrow(_solve_cells, "v long, root long")
     )

@@ -165,18 +165,31 @@ def route(field: str, term: str, crossings: set[tuple[str, str]]) -> str:
     return term[:k]
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """One container after the other, so that only one is held as Python objects."""
+    columns = [batch.column(i) for i in range(5)]
+    for row in range(batch.num_rows):
+        yield tuple(c[row].as_py() for c in columns)
+
+
 def _cut(crossings: set[tuple[str, str]]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[str, str, dict]] = []
-            for field, prefix, terms, occurrences, records in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for field, prefix, terms, occurrences, records in _rows(batch):
                 if (field, prefix) not in crossings:
                     out.append((field, route(field, prefix, crossings), dict(zip(terms, zip(occurrences, records)))))
+                    if len(out) >= 256:
+                        yield _batch(out)
+                        out = []
                     continue
                 parts: dict[str, dict] = {}
                 for term, a, b in zip(terms, occurrences, records):
                     parts.setdefault(route(field, term, crossings), {})[term] = (a, b)
                 out += [(field, r, part) for r, part in parts.items()]
+                if len(out) >= 256:
+                    yield _batch(out)
+                    out = []
             yield _batch(out)
 
     return cut
@@ -194,7 +207,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     at, trie = None, None
     for batch in batches:
-        for field, prefix, terms, occurrences, records in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for field, prefix, terms, occurrences, records in _rows(batch):
             if (field, prefix) != at:
                 if trie is not None:
                     yield from counted(at[0], trie)
