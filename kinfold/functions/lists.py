@@ -74,11 +74,11 @@ class FilterLists:
     @classmethod
     def from_frame(cls, df: DataFrame, list_col: str = "list_name", entry_col: str = "entry") -> FilterLists:
         """Lists from rows (list, entry). Entries are cleaned; the number of rows is checked before they come to the driver."""
-        rows = df.select(F.col(list_col), clean(F.col(entry_col)).alias("entry")).dropna().distinct()
+        rows = df.where(F.col(list_col).isin(*LISTS)).select(F.col(list_col), clean(F.col(entry_col)).alias("entry")).dropna().distinct()
         found: dict[str, set[str]] = {}
-        for name, entry in rows.limit(INLINE * len(LISTS) + 1).collect():
+        for name, entry in rows.limit(INLINE * len(LISTS) + 1).collect():  # reaching the limit means that one list is too large
             found.setdefault(name, set()).add(entry)
-        return cls.of({k: v for k, v in found.items() if k in LISTS})
+        return cls.of(found)
 
 
 def read_list(spark: SparkSession, path: str, name: str) -> DataFrame:

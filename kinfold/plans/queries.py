@@ -266,6 +266,12 @@ def limited_components(spark: SparkSession, d: str) -> DataFrame:
     return run_on(spark, d).labels.select("id", "component")
 
 
+@query
+def limited_components_4(spark: SparkSession, d: str) -> DataFrame:
+    """Components under a limit of four, which many components reach."""
+    return run_on(spark, d, max_identities=4).labels
+
+
 @query
 def limited_identities(spark: SparkSession, d: str) -> DataFrame:
     """The identity table under the identity limit."""

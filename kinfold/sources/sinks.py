@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from kinfold.operators.persons import dense_numbers
 
 ALIASES = T.StructType([T.StructField("id", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("email", "name", "repo")]])
 IDENTITIES = T.StructType(
@@ -54,7 +56,7 @@ def read_tables(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
 def to_database(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None, index: bool = True) -> None:
     """A table of a database, which must not exist yet; ``index`` adds a row number from 0, as data-frame loaders do."""
     if index:
-        df = df.withColumn("index", F.row_number().over(W.orderBy("id")) - 1).select("index", *df.columns)
+        df = dense_numbers(df, df.columns, "index").select((F.col("index") - 1).alias("index"), *df.columns)
     df.write.jdbc(url, table, mode="errorifexists", properties=properties or {})
 
 
