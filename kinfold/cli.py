@@ -24,6 +24,7 @@ class Arguments:
     commits: str = ""
     host: str = ""
     port: int = 3306
+    database: str = ""
     user: str = "root"
     password: str = ""
     external: str = ""
@@ -43,6 +44,7 @@ def parse(argv: list[str] | None = None) -> Arguments:
     p.add_argument("--commits", default="", help="Parquet table of commits; without it the database is read")
     p.add_argument("--host", default="")
     p.add_argument("--port", type=int, default=3306)
+    p.add_argument("--database", default="", help="the database that holds the table of commits")
     p.add_argument("--user", default="root")
     p.add_argument("--password", default="")
     p.add_argument("--external", default="", help="name of a registered matcher")
@@ -68,7 +70,7 @@ def source(spark: SparkSession, args: Arguments) -> DataFrame:
     if args.commits:
         raw = S.group_commits(spark.read.parquet(args.commits))
     else:
-        raw = S.from_jdbc(spark, f"jdbc:mysql://{args.host}:{args.port}/gitbase", {"user": args.user, "password": args.password})
+        raw = S.from_jdbc(spark, f"jdbc:mysql://{args.host}:{args.port}/{args.database}", {"user": args.user, "password": args.password})
     return S.cached(spark, raw, args.cache)
 
 
