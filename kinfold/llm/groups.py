@@ -105,7 +105,7 @@ def connected_groups(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL) ->
     ship(spark)
     a, b = edges.columns[:2]
     current = written(
-        edges.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+        edges.select(F.least(a, b).cast("long").alias("src"), F.greatest(a, b).cast("long").alias("dst"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("src") < F.col("dst"))).distinct(),
         "edges",
     )
