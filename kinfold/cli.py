@@ -87,7 +87,10 @@ def run(spark: SparkSession, args: Arguments, as_of: datetime | None = None) ->
         if args.external_cache:
             sinks.match_cache(matches, args.external_cache)
     paths = sinks.write_tables(job.aliases(), job.identities(), args.output, args.external)
-    counts = metrics.signature_counts(job.raw, job.signatures, job.stored_people, lists).union(metrics.linking_counts(job.stored_people, job.labels, lists))
+    counts = metrics.signature_counts(job.raw, job.stored_signatures, job.stored_people, lists).union(metrics.linking_counts(job.stored_people, job.labels, lists))
+    counts = counts.union(metrics.size_counts(job.labels))
+    if job.matches is not None:
+        counts = counts.union(metrics.account_counts(job.stored_people, job.matches))
     print(metrics.as_json(counts).first()[0])
     return paths
 

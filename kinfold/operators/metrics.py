@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from kinfold.functions.clean import changes_when_cleaned
 from kinfold.functions.lists import FilterLists
 from kinfold.operators.edges import email_rows, name_rows
+from kinfold.operators.merge import component_statistics
 from kinfold.operators.persons import with_key
 
 
@@ -60,6 +61,29 @@ def linking_counts(people: DataFrame, labels: DataFrame, lists: FilterLists) ->
     return tall(popular).union(tall(mails)).union(tall(names)).union(tall(after))
 
 
+def edge_counts(people: DataFrame, lists: FilterLists) -> DataFrame:
+    """(key, value): the links set when no limit holds any back, one for each later person of an address or name key."""
+    mails = email_rows(people, lists).agg((F.count("email") - F.count_distinct("email")).alias("n"))
+    names = name_rows(people, lists).agg((F.count("name_key") - F.count_distinct("name_key")).alias("n"))
+    return tall(mails.union(names).agg(F.sum("n").alias("graph edges")))
+
+
+def size_counts(labels: DataFrame) -> DataFrame:
+    """(key, value): mean, deviation and maximum of the sizes of components."""
+    row = component_statistics(labels)
+    return tall(row.select(*[F.col(f"size_{x}").alias(f"connected component size {x}") for x in ("mean", "std", "max")]))
+
+
+def account_counts(people: DataFrame, matches: DataFrame) -> DataFrame:
+    """(key, value) of an external lookup over the addresses of ``people``."""
+    users = matches.groupBy("email").agg(F.min("user").alias("user"))
+    asked = people.select("email").distinct().join(users, "email", "left")
+    return tall(asked.agg(
+        F.count("user").alias("external API emails found"), F.count_distinct("user").alias("external API components"),
+        F.count_if(F.col("user").isNull()).alias("external API emails not found"),
+    ))
+
+
 def tall(row: DataFrame) -> DataFrame:
     """One row of counters as (key, value) rows."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("double").alias("value")) for c in row.columns])).alias("p")

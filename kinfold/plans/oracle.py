@@ -119,7 +119,14 @@ _COUNTS = f"""k AS (
   UNION ALL SELECT 'popular names found', count(*) FROM pk WHERE {_in('name_key', 'popular_names')}
   UNION ALL SELECT 'people matched by email', count(DISTINCT k) FROM ({_MAILS})
   UNION ALL SELECT 'people matched by name', count(DISTINCT k) FROM ({_NAMES})
-  UNION ALL SELECT 'people after reduce', count(DISTINCT component) FROM lab)"""
+  UNION ALL SELECT 'people after reduce', count(DISTINCT component) FROM lab
+  UNION ALL SELECT 'graph edges', sum(n) FROM (SELECT count(*) - count(DISTINCT k) AS n FROM ({_MAILS}) UNION ALL SELECT count(*) - count(DISTINCT k) FROM ({_NAMES}))
+  UNION ALL SELECT 'connected component size mean', avg(n) FROM (SELECT count(*) AS n FROM lab GROUP BY component)
+  UNION ALL SELECT 'connected component size std', stddev_samp(n) FROM (SELECT count(*) AS n FROM lab GROUP BY component)
+  UNION ALL SELECT 'connected component size max', max(n) FROM (SELECT count(*) AS n FROM lab GROUP BY component)
+  UNION ALL SELECT 'external API emails found', count(DISTINCT email) FROM pk WHERE email IN (SELECT email FROM acc)
+  UNION ALL SELECT 'external API components', count(DISTINCT u) FROM pk JOIN acc USING (email)
+  UNION ALL SELECT 'external API emails not found', count(DISTINCT email) FROM pk WHERE email NOT IN (SELECT email FROM acc))"""
 _FIRST = "fs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(id)) - 1 AS ix, name, email FROM pk GROUP BY name, email)"
 
 
@@ -189,7 +196,7 @@ SQL = {
     "email_components": _with(_SIG, _BY_MAIL) + "SELECT * FROM lab",
     "all_components": _with(_SIG, _ALL) + "SELECT * FROM lab",
     "component_stats": _with(_SIG, _ALL)
-    + "SELECT count(*) AS n_components, coalesce(avg(n), 0.0) AS size_mean, coalesce(stddev_samp(n), 0.0) AS size_std, coalesce(max(n), 0) AS size_max FROM (SELECT component, count(*) AS n FROM lab GROUP BY 1)",
+    + "SELECT count(*) AS n_components, round(coalesce(avg(n), 0.0), 6) AS size_mean, round(coalesce(stddev_samp(n), 0.0), 6) AS size_std, coalesce(max(n), 0) AS size_max FROM (SELECT component, count(*) AS n FROM lab GROUP BY 1)",
     "merged_identities": _with(_SIG, _ALL, _MERGED) + "SELECT * FROM m",
     "person_labels": _with(_SIG, _ALL, _MERGED) + "SELECT id, concat('<no external id>:', names, '||', emails) AS label FROM m",
     "aliases": _with(_SIG, _ALL, _ALIASES) + "SELECT * FROM al",
@@ -213,11 +220,11 @@ SQL = {
   LEFT JOIN (SELECT email, min(id) AS id FROM al WHERE email <> '' GROUP BY 1) a ON x.email = a.email
   LEFT JOIN (SELECT name, repo, min(id) AS id FROM al WHERE name <> '' AND repo <> '' GROUP BY 1, 2) b ON x.name = b.name AND x.repo = b.repo
   LEFT JOIN (SELECT name, min(id) AS id FROM al WHERE name <> '' AND repo = '' GROUP BY 1) c ON x.name = c.name""",
-    "eval_pairs": _with(_SIG, _BY_MAIL, _ACCOUNTS, _SCORES) + "SELECT * FROM sc",
-    "eval_macro": _with(_SIG, _BY_MAIL, _ACCOUNTS, _SCORES) + "SELECT avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM sc",
+    "eval_pairs": _with(_SIG, _BY_MAIL, _ACCOUNTS, _SCORES) + "SELECT * REPLACE (round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1) FROM sc",
+    "eval_macro": _with(_SIG, _BY_MAIL, _ACCOUNTS, _SCORES) + "SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM sc",
     "eval_weighted": _with(_SIG, _BY_MAIL, _ACCOUNTS, _SCORES)
-    + "SELECT sum(precision * found_size) / sum(found_size) AS precision, sum(recall * found_size) / sum(found_size) AS recall, sum(f1 * found_size) / sum(found_size) AS f1 FROM sc",
-    "metrics_counts": _with(_SIG, _ALL, _COUNTS) + "SELECT key, value::DOUBLE AS value FROM k",
+    + "SELECT round(sum(precision * found_size) / sum(found_size), 6) AS precision, round(sum(recall * found_size) / sum(found_size), 6) AS recall, round(sum(f1 * found_size) / sum(found_size), 6) AS f1 FROM sc",
+    "metrics_counts": _with(_SIG, _ALL, _ACCOUNTS, _COUNTS) + "SELECT key, round(value::DOUBLE, 6) AS value FROM k",
     "tables_round_trip": _with(_SIG, _ALL, _MERGED, _IDENTITIES)
     + "SELECT id, len(string_split(names, '|')) AS n_names, emails, primary_name, primary_email, external_id FROM m JOIN idn USING (id)",
     "p4_found": _P4

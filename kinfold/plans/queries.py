@@ -12,7 +12,7 @@ from kinfold.operators import badrows, edges as E, evaluate, external, frequency
 from kinfold.operators.components import label_all
 from kinfold.operators.persons import with_key
 from kinfold.plans.pipeline import Run, accounts, run_on
-from kinfold.session import shared_folder, table
+from kinfold.session import shared_folder, table, written
 from kinfold.sources import signatures as S, sinks
 
 HOT_SHARE = 0.01
@@ -27,6 +27,11 @@ def query(f: Query) -> Query:
     return f
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Fractions to six places: sums of them depend on the order of rows in the last digits."""
+    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
 # --- sources and scalar functions
 
 
@@ -212,7 +217,7 @@ def _unlimited(spark: SparkSession, d: str) -> Run:
 @query
 def component_stats(spark: SparkSession, d: str) -> DataFrame:
     """Number, mean, deviation and maximum of the sizes of components."""
-    return merge.component_statistics(run_on(spark, d).full_labels())
+    return _rounded(merge.component_statistics(run_on(spark, d).full_labels()))
 
 
 @query
@@ -338,25 +343,27 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 @query
 def eval_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Precision, recall and F1 of every account and component that share an address."""
-    return _scores(spark, d)
+    return _rounded(_scores(spark, d))
 
 
 @query
 def eval_macro(spark: SparkSession, d: str) -> DataFrame:
     """Their plain averages."""
-    return evaluate.macro(_scores(spark, d))
+    return _rounded(evaluate.macro(_scores(spark, d)))
 
 
 @query
 def eval_weighted(spark: SparkSession, d: str) -> DataFrame:
     """Their averages weighted by the size of the component."""
-    return evaluate.weighted(_scores(spark, d))
+    return _rounded(evaluate.weighted(_scores(spark, d)))
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
     run = run_on(spark, d)
-    counts = metrics.signature_counts(run.raw, run.signatures, run.stored_people, run.settings.lists)
-    return counts.union(metrics.linking_counts(run.stored_people, run.full_labels(), run.settings.lists))
+    people, labels, lists = run.stored_people, written(run.full_labels(), "labels"), run.settings.lists
+    counts = metrics.signature_counts(run.raw, run.stored_signatures, people, lists).union(metrics.linking_counts(people, labels, lists))
+    counts = counts.union(metrics.edge_counts(people, lists)).union(metrics.size_counts(labels)).union(metrics.account_counts(people, accounts(spark, d)))
+    return counts.select("key", F.round("value", 6).alias("value"))
 
 
 @query
