@@ -282,16 +282,25 @@ def _doubling(levels: Levels, at_once: int = 4096):
 
 
 def _spread(ctx: DataFrame, levels: Levels) -> DataFrame:
-    """:func:`_double_sides` for anchors with very many different surroundings: the windows are grouped over the cluster."""
-    n = levels.length
-    windows = ctx.select("h", "w", "low", "high", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(levels.reach)), lambda b: F.when(
-        (F.col("at") >= b) & (F.col("at") - b + n <= F.length("ctx")), F.sha2(F.substring("ctx", F.col("at") - b + 1, F.lit(n)), 256)))).alias("back", "key"))
-    windows = windows.where(F.col("key").isNotNull())
-    shared = windows.groupBy("h", "back", "key").agg(F.min("low").alias("a"), F.max("high").alias("b")).where(F.col("a") != F.col("b")).select("h", "back", "key")
-    return (
-        windows.join(shared, ["h", "back", "key"]).groupBy("h", "w")
-        .agg(F.max("back").cast("int").alias("left"), (F.lit(n) - F.min("back")).cast("int").alias("right"))
-    )
+    """:func:`double_sides` for anchors with very many different surroundings: windows are grouped over the cluster, by 128-bit hashes."""
+    n, half, reach = levels.length, 2 * levels.base, levels.reach
+    ctx = written(ctx, "large")
+
+    def windows(rows: DataFrame, places: list[int], size: int) -> DataFrame:
+        """One row for each window of ``size`` characters that begins so many characters before the anchor and lies in the text."""
+        one = lambda b: F.struct(F.lit(b).alias("back"), F.substring("ctx", F.col("at") - b + 1, F.lit(size)).alias("text"))
+        inside = rows.select("h", "w", "low", "high", "at", F.length("ctx").alias("size"), F.explode(F.array(*[one(b) for b in places])).alias("x"))
+        inside = inside.where((F.col("at") >= F.col("x.back")) & (F.col("at") - F.col("x.back") + size <= F.col("size")))
+        return inside.select("h", "w", "low", "high", "x.back", F.xxhash64("x.text").alias("k1"), F.xxhash64(F.lit(n), "x.text").alias("k2"))
+
+    def shared(rows: DataFrame) -> DataFrame:
+        key = ["h", "back", "k1", "k2"]
+        more = rows.groupBy(*key).agg(F.min("low").alias("a"), F.max("high").alias("b")).where(F.col("a") != F.col("b")).select(*key)
+        return rows.join(more, key)
+
+    alive = written(shared(windows(ctx, [0, levels.base], half)).select("h", "w").distinct(), "alive")
+    found = shared(windows(ctx.join(_small(alive), ["h", "w"], "left_semi"), list(range(reach + 1)), n))
+    return found.groupBy("h", "w").agg(F.max("back").cast("int").alias("left"), (F.lit(n) - F.min("back")).cast("int").alias("right"))
 
 
 def _small(keys: DataFrame) -> DataFrame:
