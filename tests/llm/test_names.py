@@ -99,6 +99,29 @@ def test_shared_mailbox_is_no_evidence(spark):
     assert spellings.spelling_pairs(df, "n", "e").collect() == []
 
 
+def test_common_mailbox_name_keeps_evidence(spark):
+    first = lambda i: "bcdfghjklmnpqrst"[i] * 2 + "o" + "tsrqpnmlkjhgfdcb"[i] * 2
+    rows = [(f"{first(i)} {first(15 - i)}ak", f"me@d{i}.example") for i in range(14)]  # nobody is like another
+    rows += [("Maggie Ledavanen", "me@own.example"), ("Margaret Ledavanen", "me@own.example")]  # one address
+    rows += [("Ulrike Wolatinez", "me@one.example"), ("Wolatimez, Ulrike", "me@other.example")]  # whole names
+    rows += [("Kim Wolatinez", "me@third.example"), ("Ulrike Pram", "me@fourth.example")]  # a word alone is no evidence across domains
+    rows += [(f"Hanko {c}. Vesterlund", None) for c in "abcdefghijklmn"]  # first and last word are the same
+    team = [(f"Name{i:02d} Family", "dev-list@x.example") for i in range(14)]  # nor do the words of a shared mailbox tell anything
+    df = spark.createDataFrame(rows + team, "n string, e string")
+    got = {tuple(r) for r in spellings.spelling_pairs(df, "n", "e").collect()}
+    want = {(rows[14][0], rows[15][0]), (rows[16][0], rows[17][0])} | set(itertools.combinations([n for n, _ in rows[20:]], 2))
+    assert got == want
+
+
+def test_pieces_bring_near_forms_together():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("ab", k=rnd.randrange(1, 12))) for _ in range(400)]
+    for a, b in itertools.combinations(sorted(set(words), key=len), 2):
+        if distance(a, b) <= spellings.allowed_errors(len(b)):
+            assert {p for p, looks in spellings.pieces(a) if not looks} & {p for p, looks in spellings.pieces(b) if looks}, (a, b)
+            assert spellings.near_links([(a, "x")], [(b, "y")]) == [("y", "x")]
+
+
 @pytest.mark.parametrize("burst", [2, 512])
 def test_burst_trie_counts(burst):
     rnd = random.Random(burst)
