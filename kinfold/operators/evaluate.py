@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from kinfold.operators.persons import with_key
+
 
 def score_pairs(truth: DataFrame, found: DataFrame) -> DataFrame:
     """(truth_id, found_id, common, truth_size, found_size, precision, recall, f1) of every pair that shares an entity.
@@ -21,6 +23,18 @@ def score_pairs(truth: DataFrame, found: DataFrame) -> DataFrame:
     return sized.select("truth_id", "found_id", "common", "truth_size", "found_size", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
+def identity_scores(people: DataFrame, labels: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The scores of whole identities: names, with their scope, and addresses count as entities on both sides.
+
+    ``people``: persons of a run; ``labels``: (id, component); ``accounts``:
+    (email, user). An account has the addresses known for it that persons write
+    from, and the names written from them.
+    """
+    rows = with_key(people).select("id", "email", F.explode(F.array(F.concat(F.lit("address "), "email"), F.concat(F.lit("name "), "name_key"))).alias("entity"))
+    truth = rows.join(accounts, "email").select(F.col("user").alias("truth_id"), "entity")
+    return score_pairs(truth, rows.join(labels, "id").select(F.col("component").alias("found_id"), "entity"))
+
+
 def macro(scores: DataFrame) -> DataFrame:
     """The plain averages of precision, recall and F1; null without pairs."""
     return scores.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])

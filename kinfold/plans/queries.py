@@ -358,6 +358,29 @@ def eval_weighted(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(evaluate.weighted(_scores(spark, d)))
 
 
+def _identity_scores(spark: SparkSession, d: str) -> DataFrame:
+    run = run_on(spark, d)
+    return evaluate.identity_scores(run.stored_people, run.full_labels(), accounts(spark, d))
+
+
+@query
+def eval_identity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Precision, recall and F1 of every account and identity, linked by address and name, that share a name or an address."""
+    return _rounded(_identity_scores(spark, d))
+
+
+@query
+def eval_identity_macro(spark: SparkSession, d: str) -> DataFrame:
+    """Their plain averages."""
+    return _rounded(evaluate.macro(_identity_scores(spark, d)))
+
+
+@query
+def eval_identity_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Their averages weighted by the size of the identity."""
+    return _rounded(evaluate.weighted(_identity_scores(spark, d)))
+
+
 def _counts(spark: SparkSession, d: str) -> DataFrame:
     run = run_on(spark, d)
     people, labels, lists = run.stored_people, written(run.full_labels(), "labels"), run.settings.lists

@@ -204,6 +204,17 @@ def test_scores(spark):
     assert evaluate.weighted(scores).first().precision == pytest.approx((0.5 * 2 + 0.5 * 2 + 1) / 5)
 
 
+def test_scores_of_identities_show_a_wrong_merge_by_name(spark):
+    df = people(spark, [(1, "ann", "", "a@x.io"), (2, "ann", "", "b@x.io"), (3, "ann lee", "", "a@x.io"), (4, "bob", "r", "c@x.io"), (5, "cy", "", "d@x.io")])
+    accounts = spark.createDataFrame([("a@x.io", "A"), ("b@x.io", "B"), ("c@x.io", "C"), ("unseen@x.io", "C")], "email string, user string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)], "id long, component long")
+    scores = evaluate.identity_scores(df, labels, accounts)
+    got = {(r.truth_id, r.found_id): (r.common, r.truth_size, r.found_size, r.precision, r.recall) for r in scores.collect()}
+    assert got == {("A", 1): (3, 3, 4, 0.75, 1.0), ("B", 1): (2, 2, 4, 0.5, 1.0), ("C", 4): (2, 2, 2, 1.0, 1.0)}
+    assert evaluate.macro(scores).first().precision == pytest.approx(0.75)
+    assert evaluate.weighted(scores).first().precision == pytest.approx(0.7)
+
+
 def test_cache_round_trip(spark, tmp_path):
     raw = S.group_commits(commits(spark, [*COMMITS, ("r", 'Quo"ted, näme', "q@x.com", "h", datetime(2020, 1, 1, 2, 3, 4))]))
     path = str(tmp_path / "cache.csv")
