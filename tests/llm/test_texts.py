@@ -98,6 +98,15 @@ def test_leaked_items(spark):
     assert leaks.leaked_items(df, items.where("item_id > 9")).collect() == [] == leaks.leaked_items(df.where("doc_id < 0"), items).collect()
 
 
+@pytest.mark.parametrize(("words", "every"), [(80, 5), (100, 4)])
+def test_items_with_many_swapped_words(spark, words, every):
+    one = item(5, 100)
+    text = " ".join("zzz" if i % every == every - 2 else x for i, x in enumerate(one.split()[:words]))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = leaks.leaked_items(df, spark.createDataFrame([(1, one)], "item_id long, item_text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in rows] == [(1, 1)] and rows[0].share > 0.75
+
+
 def brute_spans(rows, n):
     seen = {}
     for i, t in rows:
