@@ -124,7 +124,8 @@ def canonical(text: str | None) -> str | None:
     return spliced.strip(" ")
 
 
-STABLE = r"^[!-~]+( [!-~]+)*$"
+#: Java's ``$`` would also match before a final line end.
+STABLE = r"^[!-~]+( [!-~]+)*\z"
 
 
 def canonical_values(df: DataFrame, text_col: str) -> DataFrame:

@@ -47,6 +47,13 @@ def test_same_look_pairs(spark):
     assert lookalike.same_look_pairs(df.where("n = 'none'"), "n").collect() == []
 
 
+def test_line_ends_after_plain_text(spark):
+    values = ["Jane Doe"] + ["Jane Doe" + end for end in ("\n", "\r\n", "\r", "\u0085", "\u2028", "\u2029")]
+    df = spark.createDataFrame([(v,) for v in values], "n string")
+    assert {r.form for r in lookalike.canonical_values(df, "n").collect()} == {"Jane Doe"}
+    assert lookalike.same_look_pairs(df, "n").count() == 21
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
