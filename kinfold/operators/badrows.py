@@ -42,22 +42,19 @@ def split_record(line: str | None) -> list[str]:
     """The fields of one record; :class:`BadRecord` ``quoting`` or ``columns`` if it has no proper structure."""
     if line is None or line == "":
         raise BadRecord("columns")
-    if '"' not in line:
-        fields = line.split(",")
+    swap = "\r" in line or "\n" in line
+    if swap and ("\ue00d" in line or "\ue00a" in line):
+        fields = _split_slowly(line)
     else:
-        swap = "\r" in line or "\n" in line
-        if swap and ("\ue00d" in line or "\ue00a" in line):
-            fields = _split_slowly(line)
-        else:
-            try:
-                fields = next(csv.reader([line.translate(_HIDE) if swap else line], strict=True))
-            except (csv.Error, StopIteration):
-                raise BadRecord("quoting") from None
-            # the reader accepts a quote inside a field that does not start with one
-            if _BARE_QUOTE.search(_QUOTED.sub(r"\1", line)):
-                raise BadRecord("quoting")
-            if swap:
-                fields = [f.translate(_SHOW) for f in fields]
+        try:
+            fields = next(csv.reader([line.translate(_HIDE) if swap else line], strict=True))
+        except (csv.Error, StopIteration):
+            raise BadRecord("quoting") from None
+        # the reader accepts a quote inside a field that does not start with one
+        if '"' in line and _BARE_QUOTE.search(_QUOTED.sub(r"\1", line)):
+            raise BadRecord("quoting")
+        if swap:
+            fields = [f.translate(_SHOW) for f in fields]
     if len(fields) != len(FIELDS):
         raise BadRecord("columns")
     return fields

@@ -1,3 +1,4 @@
+import csv
 from datetime import datetime
 
 import pytest
@@ -43,6 +44,13 @@ def test_reader_agrees_with_the_rules_letter_by_letter(line):
     assert fast == slow or fast == "columns" and len(slow) != 5
 
 
+@pytest.mark.parametrize("line", [OK, OK.replace("n,", "n\n,"), ",,,,"])
+def test_records_without_quotes_go_through_the_reader(monkeypatch, line):
+    read, reader = [], csv.reader
+    monkeypatch.setattr(csv, "reader", lambda rows, strict: read.append(strict) or reader(rows, strict=strict))
+    assert split_record(line) == line.split(",") and read == [True]
+
+
 def test_private_characters_survive():
     assert split_record('"r\ue00a",n\n\ue00d,a,b,c')[:2] == ["r\ue00a", "n\n\ue00d"]
 
