@@ -1,13 +1,14 @@
 """Evaluation items that leaked into training documents, wholly or in part.
 
-Every task indexes the documents it reads as one training shard: an FM-index
-over their words, with a wavelet matrix for ranks and sampled suffix positions.
+Every task indexes the documents it reads as training shards: an FM-index over
+all words of a shard, with a wavelet matrix for ranks and sampled suffix
+positions; words that no item has are one symbol that nothing matches.
 All phrases of the test items are searched backwards in it at once, their
 occurrences located, and neighbouring occurrences merged to spans. A document
 holds an item if its spans, in the item's order, cover half of the item's words.
 
-The items are a fixed, small set and are broadcast (their size is checked);
-documents are read once, never shuffled and never leave their task.
+The items are broadcast in parts of a checked size, one for any usual set of
+items; documents are read once a part, never shuffled and never leave their task.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ SHARE = 0.5
 SHARD_WORDS = 2_000_000
 SAMPLE = 8
 PHRASES_AT_ONCE = 1 << 16
+#: Items are broadcast in parts of about so many characters.
 MAX_ITEM_CHARS = 64_000_000
 LONGEST_SWAP = 16
+DOC_END = -1
 
 _WORD = re.compile(r"[^\W_]+")
 _ESCAPE = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|[nrtbfv0])")
@@ -51,7 +55,7 @@ class FMIndex:
 
     def __init__(self, stream: np.ndarray, sigma: int, sample: int = SAMPLE) -> None:
         n = len(stream)
-        order = self._suffixes(stream)
+        order = self._suffixes(stream, sigma)
         previous = stream[order - 1]  # of the first suffix, the last symbol: a separator ends the stream
         self.levels = max(1, int(sigma).bit_length())
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(stream, minlength=sigma + 2))])
@@ -68,24 +72,39 @@ class FMIndex:
         self.n = n
 
     @staticmethod
-    def _suffixes(stream: np.ndarray) -> np.ndarray:
-        """The suffix array by prefix doubling; separators differ by place, so the rounds follow the longest run."""
-        n = len(stream)
-        separators = stream == 0
-        rank = stream.astype(np.int64) + n
-        rank[separators] = np.arange(int(separators.sum()))
-        k = 1
-        _, rank = np.unique(rank, return_inverse=True)
-        while True:
-            second = np.zeros(n, dtype=np.int64)
-            second[: n - k] = rank[k:] + 1 if k < n else 0
-            key = rank * (n + 1) + second
-            values, rank = np.unique(key, return_inverse=True)
-            if len(values) == n:
-                out = np.empty(n, dtype=np.int64)
-                out[rank] = np.arange(n)
-                return out
+    def _suffixes(stream: np.ndarray, sigma: int) -> np.ndarray:
+        """The suffix array by prefix doubling; only suffixes that still tie are sorted again.
+
+        As many symbols as fit into an integer make the first key. Separators
+        differ by place, so suffixes equal up to one keep the order of places.
+        """
+        n, bits = len(stream), max(1, int(sigma).bit_length())
+        k = max(1, 62 // bits)
+        key, whole = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+        for j in range(k):
+            symbols = np.zeros(n, dtype=np.int64)
+            symbols[: max(0, n - j)] = stream[j:]
+            whole &= symbols > 0
+            key = key << bits | np.where(whole, symbols, 0)
+        order = np.argsort(key, kind="stable")
+        key, whole, places = key[order], whole[order], np.arange(n)
+        new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+        begin = np.maximum.accumulate(np.where(new[:-1], places, 0))
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.where(whole, begin, places)
+        tied = np.flatnonzero(whole & ~(new[:-1] & new[1:]))
+        while len(tied):
+            at = order[tied]
+            key = begin[tied] * (n + 1) + rank[at + k]
+            again = np.argsort(key, kind="stable")
+            at, key = at[again], key[again]
+            new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+            order[tied] = at
+            begin[tied] = tied[np.maximum.accumulate(np.where(new[:-1], np.arange(len(tied)), 0))]
+            rank[at] = begin[tied]
+            tied = tied[~(new[:-1] & new[1:])]
             k *= 2
+        return order
 
     def _rank(self, symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each row."""
@@ -146,8 +165,6 @@ class Items:
         for text in self.texts:
             self.words.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)])
         self.sigma = len(self.vocabulary)
-        pairs = {a * (self.sigma + 1) + b for w in self.words for a, b in zip(w, w[1:])}
-        self.pairs = np.array(sorted(pairs) or [0], dtype=np.int64)
         n = self.phrase
         all_ = {tuple(w[k : k + n]) for w in self.words for k in range(len(w) - n + 1)}
         self.phrases = np.array(sorted(all_) or np.zeros((0, n)), dtype=np.int64).reshape(-1, n)
@@ -161,49 +178,39 @@ class Items:
         self.where_item = np.array([x[0] for x in flat], dtype=np.int64)
         self.where_at = np.array([x[1] for x in flat], dtype=np.int64)
         self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.flat = np.array([x for w in self.words for x in [*w, 0]] or [0], dtype=np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(self.lengths + 1)])[:-1].astype(np.int64)
+        #: Items too short for a phrase, by their words: these are searched whole.
+        self.short: dict[tuple[int, ...], list[int]] = {}
+        for i, w in enumerate(self.words):
+            if 0 < len(w) < n:
+                self.short.setdefault(tuple(w), []).append(i)
 
 
-def _runs(words: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """The stream to index and each place's number in ``words``.
-
-    Only where two neighbouring words also stand together in an item can a
-    phrase lie; all else shrinks to one separator, runs too short as well.
-    """
-    a, b = words[:-1], words[1:]
-    code = a * (items.sigma + 1) + b
-    at = np.minimum(np.searchsorted(items.pairs, code), len(items.pairs) - 1)
-    joined = np.concatenate([[False], (items.pairs[at] == code) & (a > 0) & (b > 0), [False]])  # joined[i]: i - 1 and i
-    begins = np.flatnonzero(~joined[:-1] & joined[1:])
-    ends = np.flatnonzero(joined[:-1] & ~joined[1:]) + 1
-    long = ends - begins >= items.phrase
-    begins, ends = begins[long], ends[long]
-    sizes = ends - begins + 1
-    if not len(begins):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    offset = np.repeat(begins - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    places = np.arange(int(sizes.sum())) + offset
-    stream = words[np.minimum(places, len(words) - 1)].copy()
-    stream[np.cumsum(sizes) - 1] = 0
-    return stream, places
+def _located(index: FMIndex, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the phrase, place) of every occurrence of every phrase."""
+    low, high = index.search(phrases)
+    hit = np.flatnonzero(high > low)
+    count = (high - low)[hit]
+    rows = np.arange(int(count.sum())) + np.repeat(low[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count)
+    return np.repeat(hit, count), index.locate(rows)
 
 
 def _occurrences(words: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in ``words``, item, place in the item) of every phrase of every item."""
-    stream, places = _runs(words, items)
+    """(place in ``words``, item, place in the item) of every phrase of every item, and of whole items shorter than a phrase."""
+    kept = np.flatnonzero((words > 0) | np.concatenate([[True], words[:-1] > 0]))  # of unknown words in a row, one
+    index = FMIndex(np.maximum(words[kept], 0), items.sigma)
     out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, dtype=np.int64),) * 3]
-    if len(stream):
-        index = FMIndex(stream, items.sigma)
-        for first in range(0, len(items.phrases), PHRASES_AT_ONCE):
-            low, high = index.search(items.phrases[first : first + PHRASES_AT_ONCE])
-            count = high - low
-            hit = np.flatnonzero(count)
-            count = count[hit]
-            phrase = np.repeat(hit, count) + first
-            rows = np.arange(int(count.sum())) + np.repeat(low[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count)
-            found = places[index.locate(rows)]
-            uses = items.where_begin[phrase + 1] - items.where_begin[phrase]
-            slot = np.arange(int(uses.sum())) + np.repeat(items.where_begin[phrase] - np.concatenate([[0], np.cumsum(uses)[:-1]]).astype(np.int64), uses)
-            out.append((np.repeat(found, uses), items.where_item[slot], items.where_at[slot]))
+    for first in range(0, len(items.phrases), PHRASES_AT_ONCE):
+        phrase, place = _located(index, items.phrases[first : first + PHRASES_AT_ONCE])
+        phrase += first
+        uses = items.where_begin[phrase + 1] - items.where_begin[phrase]
+        slot = np.arange(int(uses.sum())) + np.repeat(items.where_begin[phrase] - np.concatenate([[0], np.cumsum(uses)[:-1]]).astype(np.int64), uses)
+        out.append((np.repeat(kept[place], uses), items.where_item[slot], items.where_at[slot]))
+    for text, own in items.short.items():
+        _, place = _located(index, np.array([text], dtype=np.int64))
+        for i in own:
+            out.append((kept[place], np.full(len(place), i, dtype=np.int64), np.zeros(len(place), dtype=np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -233,21 +240,39 @@ def _chain(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return chain[::-1]
 
 
-def _spans(hits: list[tuple[int, int]], n: int) -> list[tuple[int, int, int]]:
-    """Phrases at (document, item) merged along their diagonals."""
-    by: dict[int, list[int]] = {}
-    for d, k in hits:
-        by.setdefault(d - k, []).append(k)
-    out = []
-    for diagonal, ks in by.items():
-        ks.sort()
-        begin = last = ks[0]
-        for k in ks[1:] + [1 << 60]:
-            if k > last + n:
-                out.append((begin + diagonal, begin, last + n - begin))
-                begin = k
-            last = k
-    return out
+def _merged(pair: np.ndarray, place: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, place in the shard, place in the item, words) of phrases merged along their diagonals, sorted by pair."""
+    diagonal = place - at
+    order = np.lexsort((at, diagonal, pair))
+    pair, place, at, size, diagonal = pair[order], place[order], at[order], size[order], diagonal[order]
+    new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] > at[:-1] + size[:-1])])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    return pair[first], place[first], at[first], at[last] + size[last] - at[first]
+
+
+def _outward(words: np.ndarray, items: Items, doc: np.ndarray, item: np.ndarray, step: int) -> np.ndarray:
+    """How many more words the text and an item share beyond an end of a span, for many spans at once.
+
+    ``doc``, ``item``: the places next to the end in ``words`` and in the items'
+    words. Two words in a row that differ end the walk, as do the ends of a
+    document (-1) and of an item (0); a single one between words that agree
+    counts as repeated.
+    """
+    total = np.zeros(len(doc), dtype=np.int64)
+    missed = np.zeros(len(doc), dtype=bool)
+    walking, d, k = np.arange(len(doc)), doc.copy(), item.copy()
+    while len(walking):
+        inside = (d >= 0) & (d < len(words)) & (k >= 0)
+        walking, d, k = walking[inside], d[inside], k[inside]
+        going = (items.flat[k] > 0) & (words[d] >= 0)
+        walking, d, k = walking[going], d[going], k[going]
+        same = words[d] == items.flat[k]
+        total[walking[same]] += 1 + missed[walking[same]]
+        go = same | ~missed[walking]
+        missed[walking] = ~same
+        walking, d, k = walking[go], d[go] + step, k[go] + step
+    return total
 
 
 def _alike(doc: list[int], item: list[int]) -> int:
@@ -264,22 +289,18 @@ def _alike(doc: list[int], item: list[int]) -> int:
     return table[-1]
 
 
-def repeated_words(doc: list[int], item: list[int], hits: list[tuple[int, int]], n: int) -> int:
-    """How many words of ``item`` the document repeats in order, given its phrases (place in document, place in item)."""
-    chain = _chain(_spans(hits, n))
-    total = sum(c[2] for c in chain)
+def repeated_words(doc: list[int], item: list[int], spans: list[tuple[int, int, int]], before: dict[tuple, int], after: dict[tuple, int]) -> int:
+    """How many words of ``item`` the document repeats in order.
+
+    ``spans``: (place in the document, place in the item, words); ``before`` and
+    ``after``: what lies beyond each span's ends.
+    """
+    chain = _chain(spans)
+    total = sum(c[2] for c in chain) + before[chain[0]] + after[chain[-1]]
     for (d, k, m), (e, q, _) in zip(chain, chain[1:]):
         gap, there = q - k - m, e - d - m
         if 0 < gap <= LONGEST_SWAP and abs(gap - there) <= 2:
             total += _alike(doc[d + m : e], item[k + m : q])
-    for step, d, k in ((-1, chain[0][0] - 1, chain[0][1] - 1), (1, chain[-1][0] + chain[-1][2], chain[-1][1] + chain[-1][2])):
-        misses, waiting = 0, 0
-        while 0 <= d < len(doc) and 0 <= k < len(item) and misses < 2:
-            if doc[d] == item[k]:
-                total, misses, waiting = total + 1 + waiting, 0, 0
-            else:
-                misses, waiting = misses + 1, 1
-            d, k = d + step, k + step
     return total
 
 
@@ -292,16 +313,20 @@ def _find(items: Items, share: float):
         if not len(place):
             return out
         doc = np.searchsorted(begins, place, side="right") - 1
-        order = np.lexsort((at, place, item, doc))
-        doc, item, place, at = doc[order], item[order], place[order], at[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), [True]]))
-        n = items.phrase
-        for c in range(len(cuts) - 1):  # any phrase makes a candidate: with swapped words, few may be left of a long repetition
-            lo, hi = cuts[c], cuts[c + 1]
+        pair, place, at, size = _merged(doc * len(items.ids) + item, place, at, np.minimum(items.phrase, items.lengths[item]))
+        doc, item = pair // len(items.ids), pair % len(items.ids)
+        before = _outward(words, items, place - 1, items.begins[item] + at - 1, -1)
+        after = _outward(words, items, place + size, items.begins[item] + at + size, 1)
+        cuts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        count = np.diff(np.concatenate([cuts, [len(pair)]]))
+        # no chain repeats more than all spans, what lies beyond the farthest-reaching of them, and the gaps between them
+        most = np.add.reduceat(size, cuts) + np.maximum.reduceat(before, cuts) + np.maximum.reduceat(after, cuts) + (count - 1) * LONGEST_SWAP
+        for c in np.flatnonzero(most >= share * items.lengths[item[cuts]]):
+            lo, hi = int(cuts[c]), int(cuts[c] + count[c])
             d, i = int(doc[lo]), int(item[lo])
             own = flat[begins[d] : begins[d + 1]]
-            hits = list(zip((place[lo:hi] - begins[d]).tolist(), at[lo:hi].tolist()))
-            part = repeated_words(own, items.words[i], hits, n) / len(items.words[i])
+            spans = list(zip((place[lo:hi] - begins[d]).tolist(), at[lo:hi].tolist(), size[lo:hi].tolist()))
+            part = repeated_words(own, items.words[i], spans, dict(zip(spans, before[lo:hi].tolist())), dict(zip(spans, after[lo:hi].tolist()))) / len(items.words[i])
             if part >= share:
                 for column, value in zip(out, (ids[d], items.ids[i], part)):
                     column.append(value)
@@ -321,7 +346,7 @@ def _find(items: Items, share: float):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 before = len(flat)
                 flat += [get(w, 0) for w in words_of(text.as_py())]
-                flat.append(0)
+                flat.append(DOC_END)
                 ids.append(i)
                 sizes.append(len(flat) - before)
                 if len(flat) >= SHARD_WORDS:
@@ -335,25 +360,32 @@ def _find(items: Items, share: float):
 
 def leaked_items(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "item_text",
-    share: float = SHARE, phrase: int = PHRASE,
+    share: float = SHARE, phrase: int = PHRASE, max_item_chars: int = MAX_ITEM_CHARS,
 ) -> DataFrame:
     """(``doc_id``, ``item_id``, ``share``): documents that repeat at least ``share`` of an item's words in the item's order.
 
     ``share`` in the result is the part of the item's words that is repeated.
-    Null and wordless texts and items match nothing, nor do items shorter than
-    ``phrase`` words. Repeated documents each give their row.
+    A repetition holds at least one phrase of ``phrase`` words unchanged; items
+    of fewer words count only where they are repeated whole. Null and wordless
+    texts and items match nothing. Repeated documents each give their row.
     """
     spark = docs.sparkSession
     ship(spark)
-    chars = items.agg(F.sum(F.length(item_text))).first()[0] or 0
-    if chars > MAX_ITEM_CHARS:
-        raise ValueError(f"the items hold {chars} characters; call this for parts of at most {MAX_ITEM_CHARS}")
-    rows = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long"), item_text).collect()
-    known = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], phrase))
+    known_items = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
+    chars = known_items.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = chars // max_item_chars + 1
+    texts = docs.select(F.col(doc_id).cast("long"), F.col(doc_text)).where(F.col(doc_text).isNotNull())
+    schema = T.StructType([T.StructField(doc_id, T.LongType()), T.StructField(item_id, T.LongType()), T.StructField("share", T.DoubleType())])
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _find(known.value, share)(batches)
+    def leaks_of(part: DataFrame) -> DataFrame:
+        rows = part.collect()
+        known = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], phrase))
 
-    schema = T.StructType([T.StructField(doc_id, T.LongType()), T.StructField(item_id, T.LongType()), T.StructField("share", T.DoubleType())])
-    texts = docs.select(F.col(doc_id).cast("long"), F.col(doc_text)).where(F.col(doc_text).isNotNull())
-    return texts.mapInArrow(lambda it: (pa.RecordBatch.from_arrays(b.columns, names=[doc_id, item_id, "share"]) for b in find(it)), schema)
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _find(known.value, share)(batches):
+                yield pa.RecordBatch.from_arrays(b.columns, names=[doc_id, item_id, "share"])
+
+        return texts.mapInArrow(find, schema)
+
+    in_part = F.pmod(F.xxhash64("id", "text"), F.lit(parts))
+    return reduce(DataFrame.union, [leaks_of(known_items.where(in_part == p)) for p in range(parts)])

@@ -73,6 +73,19 @@ def test_fm_index_against_scanning():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(n - 2) if (s[i : i + 3] == p).all()]
 
 
+def test_suffixes_against_sorting():
+    rng = np.random.default_rng(2)
+    for sigma, n in ((1, 500), (2, 800), (1500, 3000)):
+        s = rng.integers(1, sigma + 1, n)
+        s[rng.integers(0, n, n // 60)] = 0
+        s[100:150] = s[200:250]
+        s[-1] = 0
+        place = np.cumsum(s == 0)  # separators differ by place and come before all words
+        key = [n if x else int(place[i]) - n for i, x in enumerate(s.tolist())]
+        want = sorted(range(n), key=lambda i: [(x, 0) if x else (0, key[j]) for j, x in enumerate(s[i : i + 600].tolist(), i)])
+        assert leaks.FMIndex._suffixes(s, sigma).tolist() == want
+
+
 def item(seed, n=80):
     rnd = random.Random(seed)
     return " ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(n))
@@ -107,6 +120,31 @@ def test_items_with_many_swapped_words(spark, words, every):
     assert [(r.doc_id, r.item_id) for r in rows] == [(1, 1)] and rows[0].share > 0.75
 
 
+def test_short_items_are_found_whole(spark):
+    docs = spark.createDataFrame([(1, "x Alpha, beta y"), (2, "alpha y beta"), (3, "solo"), (4, "alpha"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "Solo!"), (3, "alpha beta"), (4, "")], "item_id long, item_text string")
+    got = {(r.doc_id, r.item_id, r.share) for r in leaks.leaked_items(docs, items).collect()}
+    assert got == {(1, 1, 1.0), (1, 3, 1.0), (3, 2, 1.0)}
+
+
+def test_items_in_parts_and_documents_apart(spark):
+    texts = [item(k, 20) for k in range(12)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, item_text string")
+    w = texts[0].split()
+    docs = spark.createDataFrame([*enumerate(texts), (50, " ".join(w[:6])), (51, " ".join(w[6:12]))], "doc_id long, text string").coalesce(1)
+    want = sorted((i, i, 1.0) for i in range(12))
+    for chars in (300, 10**6):
+        assert sorted(map(tuple, leaks.leaked_items(docs, items, max_item_chars=chars).collect())) == want
+
+
+def test_swapped_words_of_most_of_an_item(spark):
+    one = item(6, 80)
+    text = " ".join("zzz" if i % 5 == 3 else x for i, x in enumerate(one.split()[:56]))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = leaks.leaked_items(df, spark.createDataFrame([(1, one)], "item_id long, item_text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in rows] == [(1, 1)] and rows[0].share >= 0.65
+
+
 def brute_spans(rows, n):
     seen = {}
     for i, t in rows:
