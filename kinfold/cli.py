@@ -12,6 +12,7 @@ from kinfold.functions.lists import FilterLists
 from kinfold.operators import metrics
 from kinfold.operators.external import lookup
 from kinfold.plans.pipeline import Run, Settings
+from kinfold.session import written
 from kinfold.sources import signatures as S, sinks
 
 #: External matchers by name; an installation registers its own factories here.
@@ -36,6 +37,11 @@ class Arguments:
     months: int = 12
     min_count: int = 5
     lists: str = ""
+    load_url: str = ""
+    load_user: str = ""
+    load_password: str = ""
+    load_aliases: str = "aliases"
+    load_identities: str = "identities"
 
 
 def parse(argv: list[str] | None = None) -> Arguments:
@@ -56,6 +62,11 @@ def parse(argv: list[str] | None = None) -> Arguments:
     p.add_argument("--months", type=int, default=12, help="what counts as recent")
     p.add_argument("--min-count", type=int, default=5, help="recent signatures from which on they decide the primary values")
     p.add_argument("--lists", default="", help="Parquet table (list_name, entry) of filter lists")
+    p.add_argument("--load-url", default="", help="JDBC address of a database that both tables are loaded into after the run")
+    p.add_argument("--load-user", default="")
+    p.add_argument("--load-password", default="")
+    p.add_argument("--load-aliases", default="aliases", help="name of the table of aliases there")
+    p.add_argument("--load-identities", default="identities", help="name of the table of identities there")
     args = Arguments(**vars(p.parse_args(argv)))
     if args.external and args.external not in MATCHERS:
         p.error(f"unknown matcher {args.external}; known: {sorted(MATCHERS)}")
@@ -82,16 +93,21 @@ def run(spark: SparkSession, args: Arguments, as_of: datetime | None = None) ->
     if args.external:
         known = sinks.read_match_cache(spark, args.external_cache) if args.external_cache and S.exists(spark, args.external_cache) else None
         make, api_url, token = MATCHERS[args.external], args.api_url, args.token
-        matches = lookup(job.stored_people, lambda: make(api_url, token), known)
-        job = Run(job.raw, settings, matches)
+        fresh = written(lookup(job.stored_people, lambda: make(api_url, token), known), "matches")  # asked once, whatever reads it
         if args.external_cache:
-            sinks.match_cache(matches, args.external_cache)
+            sinks.match_cache(fresh, args.external_cache)
+        answers = fresh.select(*sinks.MATCH_CACHE.names)
+        job = Run(job.raw, settings, answers.unionByName(known) if known is not None else answers)
     paths = sinks.write_tables(job.aliases(), job.identities(), args.output, args.external)
     counts = metrics.signature_counts(job.raw, job.stored_signatures, job.stored_people, lists).union(metrics.linking_counts(job.stored_people, job.labels, lists))
-    counts = counts.union(metrics.size_counts(job.labels))
+    counts = counts.union(metrics.limited_edge_counts(job.stored_people, job.labels, lists)).union(metrics.size_counts(job.labels))
     if job.matches is not None:
         counts = counts.union(metrics.account_counts(job.stored_people, job.matches))
     print(metrics.as_json(counts).first()[0])
+    if args.load_url:
+        properties = {"user": args.load_user, "password": args.load_password}
+        for path, name in zip(paths, (args.load_aliases, args.load_identities)):
+            sinks.to_database(spark.read.parquet(path), args.load_url, name, properties)
     return paths
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, functions as F
 
 # The members of Unicode's White_Space property, as a regex class that Java and RE2 read alike.
 BLANK = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-PARENS = r"([^\(]+)\s+\(([^\)]+)\)"
+#: A remark in parentheses, the blank before it and the character before that, which stays.
+PARENS = r"([^(])\s\([^)]+\)"
 
 
 @lru_cache(maxsize=1)
@@ -45,7 +46,7 @@ def strip_accents(c: Column) -> Column:
     out = F.translate(c, source, target)
     for a, b in longer:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return F.when(c.rlike(r"[^\x00-\x7F]"), out).otherwise(c)  # most values are plain and need none of it
 
 
 def lower(c: Column) -> Column:

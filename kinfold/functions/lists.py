@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinfold.functions import predicates as P
 from kinfold.functions.clean import clean
+from kinfold.session import written
 
 LISTS = ("domains", "top_level_domains", "names", "emails", "popular_emails", "popular_names")
-#: Above this size a list is joined instead of standing in the plan.
+#: Above this counted size a list is joined instead of standing in the plan.
 INLINE = 10_000
 
 # A small list of our own for use without any file.
@@ -27,14 +28,14 @@ DEFAULTS = {
 
 @dataclass(frozen=True)
 class FilterLists:
-    """Six lists of cleaned values. Nothing is in an empty list; null is in none."""
+    """Six lists of cleaned values, each a set or, if large, a frame of one column. Nothing is in an empty list; null is in none."""
 
-    domains: frozenset[str] = field(default_factory=frozenset)
-    top_level_domains: frozenset[str] = field(default_factory=frozenset)
-    names: frozenset[str] = field(default_factory=frozenset)
-    emails: frozenset[str] = field(default_factory=frozenset)
-    popular_emails: frozenset[str] = field(default_factory=frozenset)
-    popular_names: frozenset[str] = field(default_factory=frozenset)
+    domains: frozenset[str] | DataFrame = field(default_factory=frozenset)
+    top_level_domains: frozenset[str] | DataFrame = field(default_factory=frozenset)
+    names: frozenset[str] | DataFrame = field(default_factory=frozenset)
+    emails: frozenset[str] | DataFrame = field(default_factory=frozenset)
+    popular_emails: frozenset[str] | DataFrame = field(default_factory=frozenset)
+    popular_names: frozenset[str] | DataFrame = field(default_factory=frozenset)
 
     def is_popular_email(self, email: Column) -> Column:
         return P.in_list(self.popular_emails)(email)
@@ -61,22 +62,26 @@ class FilterLists:
         return ~P.has_at(email) | self.is_listed_email(email) | P.is_multiple_email(email) | bad
 
     @classmethod
-    def of(cls, lists: dict[str, set[str]]) -> FilterLists:
-        big = [k for k, v in lists.items() if len(v) > INLINE]
-        if big:
-            raise ValueError(f"lists of more than {INLINE} entries must be joined (see anti_join): {big}")
-        return cls(**{k: frozenset(lists.get(k, ())) for k in LISTS})
+    def of(cls, lists: dict[str, set[str] | DataFrame]) -> FilterLists:
+        found = {k: lists.get(k, ()) for k in LISTS}
+        return cls(**{k: v if isinstance(v, DataFrame) else frozenset(v) for k, v in found.items()})
 
     @classmethod
     def defaults(cls) -> FilterLists:
         return cls.of(DEFAULTS)
 
     @classmethod
-    def from_frame(cls, df: DataFrame, list_col: str = "list_name", entry_col: str = "entry") -> FilterLists:
-        """Lists from rows (list, entry). Entries are cleaned; the number of rows is checked before they come to the driver."""
-        rows = df.where(F.col(list_col).isin(*LISTS)).select(F.col(list_col), clean(F.col(entry_col)).alias("entry")).dropna().distinct()
-        found: dict[str, set[str]] = {}
-        for name, entry in rows.limit(INLINE * len(LISTS) + 1).collect():  # reaching the limit means that one list is too large
+    def from_frame(cls, df: DataFrame, list_col: str = "list_name", entry_col: str = "entry", inline: int = INLINE) -> FilterLists:
+        """Lists from rows (list, entry). Entries are cleaned; a list of more than ``inline`` of them stays a frame."""
+        rows = df.where(F.col(list_col).isin(*LISTS)).select(F.col(list_col).alias("name"), clean(F.col(entry_col)).alias("entry")).dropna().distinct()
+        found: dict[str, set[str] | DataFrame] = {}
+        few = rows.limit(inline * len(LISTS) + 1).collect()
+        if len(few) > inline * len(LISTS):  # not all of them: only lists counted to be small come to the driver
+            sizes = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+            large = [r[0] for r in sizes.where(F.col("n") > inline).collect()]
+            found = {k: written(rows.where(F.col("name") == k).select("entry"), "list") for k in large}
+            few = rows.where(~F.col("name").isin(*large)).collect()
+        for name, entry in few:
             found.setdefault(name, set()).add(entry)
         return cls.of(found)
 
@@ -90,7 +95,3 @@ def read_lists(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """All lists of ``paths`` (list name to file) as one frame."""
     return reduce(DataFrame.unionByName, (read_list(spark, p, n) for n, p in sorted(paths.items())))
 
-
-def anti_join(df: DataFrame, column: str, entries: DataFrame) -> DataFrame:
-    """Rows whose value is not in a list of any size; Spark broadcasts the list only below its own threshold."""
-    return df.join(entries.select(F.col(entries.columns[-1]).alias(column)).distinct(), column, "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from kinfold.functions.clean import changes_when_cleaned
 from kinfold.functions.lists import FilterLists
 from kinfold.operators.edges import email_rows, name_rows
+from kinfold.operators.external import with_answers
 from kinfold.operators.merge import component_statistics
 from kinfold.operators.persons import with_key
 
@@ -68,6 +69,13 @@ def edge_counts(people: DataFrame, lists: FilterLists) -> DataFrame:
     return tall(mails.union(names).agg(F.sum("n").alias("graph edges")))
 
 
+def limited_edge_counts(people: DataFrame, labels: DataFrame, lists: FilterLists) -> DataFrame:
+    """(key, value): the links set under the identity limit: those of replayed persons as counted, of others all that their keys give."""
+    others = people.join(labels.where("NOT replayed").select("id"), "id", "left_semi")
+    rows = edge_counts(others, lists).select("value").union(labels.where("replayed").select(F.sum("n_edges").cast("double")))
+    return rows.agg(F.sum("value").alias("value")).select(F.lit("graph edges").alias("key"), "value")
+
+
 def size_counts(labels: DataFrame) -> DataFrame:
     """(key, value): mean, deviation and maximum of the sizes of components."""
     row = component_statistics(labels)
@@ -76,11 +84,12 @@ def size_counts(labels: DataFrame) -> DataFrame:
 
 def account_counts(people: DataFrame, matches: DataFrame) -> DataFrame:
     """(key, value) of an external lookup over the addresses of ``people``."""
-    users = matches.groupBy("email").agg(F.min("user").alias("user"))
-    asked = people.select("email").distinct().join(users, "email", "left")
+    asked = with_answers(people, matches).select("email", "user").distinct()
+    missing = F.when(F.col("user").isNull(), F.col("email"))
+    found = F.when(F.col("user").isNotNull(), F.col("email"))
     return tall(asked.agg(
-        F.count("user").alias("external API emails found"), F.count_distinct("user").alias("external API components"),
-        F.count_if(F.col("user").isNull()).alias("external API emails not found"),
+        F.count_distinct(found).alias("external API emails found"), F.count_distinct("user").alias("external API components"),
+        F.count_distinct(missing).alias("external API emails not found"),
     ))
 
 

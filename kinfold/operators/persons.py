@@ -41,6 +41,12 @@ def people_from(signatures: DataFrame, lists: FilterLists) -> DataFrame:
     return dense_numbers(kept, ["row_ix"]).select("id", "name", scope.alias("repo"), "email", "hash", F.col("repo").alias("sample_repo"), "ts")
 
 
+def reversed_rows(people: DataFrame, attributes: list[str]) -> DataFrame:
+    """(attribute, value, id): each person once under each value it has."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in attributes])).alias("p")
+    return people.select("id", pairs).select("p.attribute", "p.value", "id").where(F.col("value").isNotNull()).distinct()
+
+
 def with_key(people: DataFrame) -> DataFrame:
     """``name_key`` added: the name, with its scope if it has one."""
     return people.withColumn("name_key", name_key(F.col("name"), F.col("repo")))

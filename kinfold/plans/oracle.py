@@ -185,7 +185,9 @@ SQL = {
     "name_keys": _with(_SIG) + "SELECT id, name_key FROM pk",
     "name_freq": _with(_SIG) + _freq("name"),
     "email_freq": _with(_SIG) + _freq("email"),
-    "reversed_index": _with(_SIG) + "SELECT email, count(DISTINCT id) AS n, min(id) AS first_id, max(id) AS last_id FROM pk GROUP BY 1",
+    "reversed_index": _with(_SIG) + "SELECT 'email' AS attribute, email AS value, id FROM pk UNION SELECT 'name', name, id FROM pk",
+    "reversed_index_sizes": _with(_SIG)
+    + "SELECT attribute, value, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT 'email' AS attribute, email AS value, id FROM pk UNION SELECT 'name', name, id FROM pk) GROUP BY 1, 2",
     "first_seen": _with(_SIG, _FIRST) + "SELECT * FROM fs",
     "popular_learned_names": _with(_SIG)
     + f"SELECT name AS key, count(DISTINCT email) AS n_values FROM sig WHERE NOT {_IGNORED_NAME} AND NOT {_IGNORED_MAIL} GROUP BY 1 HAVING count(DISTINCT email) >= 5",

@@ -11,7 +11,7 @@ from kinfold.functions.lists import FilterLists
 from kinfold.functions.predicates import recent_cutoff
 from kinfold.operators import edges as E, external, frequency, limit as L, merge
 from kinfold.operators.components import label_all
-from kinfold.operators.persons import people_from
+from kinfold.operators.persons import people_from, with_key
 from kinfold.session import table, written
 from kinfold.sources import signatures as S
 
@@ -90,7 +90,7 @@ class Run:
 
         def make() -> DataFrame:
             if self.settings.max_identities is None and self.matches is None:
-                return written(self.full_labels(), "labels")
+                return written(self.full_labels().select("id", "component", F.lit(False).alias("replayed"), F.lit(None).cast("long").alias("n_edges")), "labels")
             limit = self.settings.max_identities or 1 << 62
             return written(L.limited_components(self.stored_people, self.settings.lists, limit, self.unmatched), "labels")
 
@@ -103,11 +103,15 @@ class Run:
         return frequency.primary_values(rows, stats, self.settings.min_count)
 
     def identities(self) -> DataFrame:
-        """(id, primary_name, primary_email, external_id) of each identity."""
-        known = E.propagate_ids(self.stored_people.join(self.labels, "id").select("component", "external_id"))
-        names = self.primary("name").withColumnRenamed("value", "primary_name")
-        mails = self.primary("email").withColumnRenamed("value", "primary_email")
-        return known.select(F.col("component").alias("id"), "external_id").join(names, "id").join(mails, "id").select("id", "primary_name", "primary_email", "external_id")
+        """(id, primary_name, primary_email, external_id) of each identity: names and addresses in one pass."""
+        one = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("value"), F.col(key).alias("key"))
+        pairs = F.explode(F.array(one("name", "name_key"), one("email", "email"))).alias("p")
+        rows = with_key(self.stored_people).join(self.labels.select("id", "component"), "id").select(F.col("component").alias("id"), "external_id", pairs)
+        values = rows.groupBy("id", "p.kind", "p.value", "p.key").agg(F.max("external_id").alias("external_id"))
+        stats = frequency.all_frequencies(self.stored_signatures, ["name", "email"], self.settings.cutoff)
+        best = frequency.primary_values(values, stats, self.settings.min_count, ["kind"], ["external_id"])
+        of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value"))).alias(f"primary_{kind}")
+        return best.groupBy("id").agg(of("name"), of("email"), F.max("external_id").alias("external_id"))
 
     def aliases(self) -> DataFrame:
         return merge.aliases(self.stored_people, self.labels)
@@ -115,8 +119,6 @@ class Run:
 
 def _value_rows(people: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     """(id, value, key) of each identity: distinct addresses, or names once for every scope."""
-    from kinfold.operators.persons import with_key
-
     rows = with_key(people).join(labels.select("id", "component"), "id")
     key = F.col("name_key") if column == "name" else F.col(column)
     return rows.select(F.col("component").alias("id"), F.col(column).alias("value"), key.alias("key")).distinct()

@@ -10,9 +10,9 @@ from kinfold.functions import clean as C, predicates as P
 from kinfold.functions.lists import FilterLists
 from kinfold.operators import badrows, edges as E, evaluate, external, frequency, hotkeys, merge, metrics, popularity, resolve
 from kinfold.operators.components import label_all
-from kinfold.operators.persons import with_key
+from kinfold.operators.persons import reversed_rows, with_key
 from kinfold.plans.pipeline import Run, accounts, run_on
-from kinfold.session import shared_folder, table, written
+from kinfold.session import table, temporary_path, written
 from kinfold.sources import signatures as S, sinks
 
 HOT_SHARE = 0.01
@@ -114,9 +114,7 @@ def signature_labels(spark: SparkSession, d: str) -> DataFrame:
 @query
 def csv_cache(spark: SparkSession, d: str) -> DataFrame:
     """Signatures written to the CSV cache and read from it again."""
-    import uuid
-
-    path = f"{shared_folder(spark)}/signatures-{S.cache_key()}-{uuid.uuid4().hex}.csv"
+    path = temporary_path(spark, f"signatures-{S.cache_key()}")
     return S.cached(spark, S.group_commits(table(spark, d, "commits")), path).select("repo", "name", "email", "hash", "ts")
 
 
@@ -157,8 +155,15 @@ def email_freq(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def reversed_index(spark: SparkSession, d: str) -> DataFrame:
-    """The persons of every address: their number, first and last."""
-    return run_on(spark, d).people.groupBy("email").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    """The set of persons of every address and every name, a row for each member, so that no set has to fit into one."""
+    return reversed_rows(run_on(spark, d).people, ["email", "name"])
+
+
+@query
+def reversed_index_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The number, first and last of these persons."""
+    rows = reversed_rows(run_on(spark, d).people, ["email", "name"])
+    return rows.groupBy("attribute", "value").agg(F.count("id").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 @query
@@ -274,7 +279,7 @@ def limited_components(spark: SparkSession, d: str) -> DataFrame:
 @query
 def limited_components_4(spark: SparkSession, d: str) -> DataFrame:
     """Components under a limit of four, which many components reach."""
-    return run_on(spark, d, max_identities=4).labels
+    return run_on(spark, d, max_identities=4).labels.select("id", "component", "replayed")
 
 
 @query
@@ -404,10 +409,9 @@ def metrics_json(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tables_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Alias and identity tables written as Parquet and read back, as text."""
-    import uuid
-
     run = _unlimited(spark, d)
-    path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}.parquet"
+    folder = temporary_path(spark, "tables")
+    path = f"{folder}/tables.parquet"
     sinks.write_tables(run.aliases(), run.identities(), path)
     rows, _ = sinks.read_tables(spark, path)
     return rows.select("id", F.size("names").alias("n_names"), F.concat_ws("|", "emails").alias("emails"), "primary_name", "primary_email", "external_id")

@@ -31,17 +31,27 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) is a folder made and set.
+    Only where that is unset on one machine (tests) is a folder made and set;
+    executors elsewhere could not read it, so a cluster without the setting is refused.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="kinfold-")
         sc.setCheckpointDir(folder)
         _forget_on_exit(spark, folder)
     return folder
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/kinfold/{name}-{uuid.uuid4().hex}"
+    _forget_on_exit(spark, path)
+    return path
+
+
 def _forget_on_exit(spark: SparkSession, folder: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
@@ -55,18 +65,18 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     stages start from files instead of recomputing. Removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/kinfold/{name}-{uuid.uuid4().hex}"
+    path = temporary_path(spark, name)
     df.write.parquet(path)
-    _forget_on_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinfold_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a :func:`written` table that nothing reads any more."""
-    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._kinfold_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of :func:`written` tables that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._kinfold_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from kinfold.functions.clean import clean, tidy
+from kinfold.functions.clean import clean
 
 #: repo, name, email as stored; hash and time of the group; row_ix: place of the group's first row, which orders the ids.
 SCHEMA = T.StructType([
@@ -70,16 +70,16 @@ def write_cache(signatures: DataFrame, path: str) -> None:
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """Signatures from CSV with a header of exactly the five columns, in any order.
 
-    Name and address are cleaned; rows with a blank field or a time that is no
-    RFC 3339 time leave. The order of rows within the files is their order.
+    All texts are cleaned; rows with a blank field or a time that is no
+    RFC 3339 time leave; a row of another width ends the reading with an error.
+    The order of rows within the files is their order.
     """
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("mode", "FAILFAST").csv(path)
     if sorted(raw.columns) != sorted(CSV_COLUMNS):
         raise ValueError(f"expected the columns {CSV_COLUMNS}, found {raw.columns}")
     time = F.trim("time")
     df = raw.select(
-        *[F.coalesce(tidy(F.col(c), False), F.lit("")).alias(c) for c in ("repo", "hash")],
-        *[F.coalesce(clean(F.col(c)), F.lit("")).alias(c) for c in ("name", "email")],
+        *[F.coalesce(clean(F.col(c)), F.lit("")).alias(c) for c in ("repo", "hash", "name", "email")],
         F.when(time.rlike(RFC3339), F.try_to_timestamp(time)).alias("ts"), F.monotonically_increasing_id().alias("row_ix"),
     )
     return df.where("repo <> '' AND name <> '' AND email <> '' AND hash <> '' AND ts IS NOT NULL").select(*SCHEMA.names)

@@ -12,6 +12,9 @@ IDENTITIES = T.StructType(
 )
 
 
+MATCH_CACHE = T.StructType([T.StructField(c, T.StringType()) for c in ("email", "repo", "hash", "user")])
+
+
 class ProviderConflict(ValueError):
     """Identities of two providers in one table."""
 
@@ -73,10 +76,13 @@ def write_text(merged: DataFrame, path: str) -> None:
     lines.orderBy("value").write.text(path)
 
 
-def match_cache(matches: DataFrame, path: str) -> None:
-    """(email, user) of an external lookup, kept for later runs."""
-    matches.select("email", "user").write.mode("overwrite").option("header", True).csv(path)
+def match_cache(fresh: DataFrame, path: str) -> None:
+    """Answers of an external lookup added to those kept for later runs; failed ones are left out, to be asked again."""
+    answered = fresh.where(F.col("error").isNull()) if "error" in fresh.columns else fresh
+    answered.select(*MATCH_CACHE.names).write.mode("append").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def read_match_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("email string, user string").option("header", True).csv(path)
+    """The answers there are now; those added later are not seen."""
+    df = spark.read.schema(MATCH_CACHE).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return df.fillna("", ["repo", "hash"])

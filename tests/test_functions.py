@@ -1,10 +1,10 @@
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kinfold.functions import clean as C, predicates as P
-from kinfold.functions.lists import DEFAULTS, FilterLists, anti_join, read_lists
+from kinfold.functions.lists import DEFAULTS, FilterLists, read_lists
 
 
 def apply(spark, f, values, kind="string"):
@@ -59,7 +59,7 @@ def test_ignored_emails(spark):
     assert apply(spark, lists.is_popular_email, ["x"]) == [False]
 
 
-@pytest.mark.parametrize(("domain", "is_ip"), [("blockchaindev34.172.16.0.1", True), ("1.2.3", False), ("2001:db8::1", True), ("1:2:3:4:5:6:7:8", True), ("::1", True), ("a.b", False)])
+@pytest.mark.parametrize(("domain", "is_ip"), [("blockchaindev34.172.16.0.1", True), ("1.2.3", False), ("2001:db8::1", True), ("1:2:3:4:5:6:7:8", True), ("::1", True), ("a.b", False), ("fe80:%eth0", True), ("fe80:eth0.x", False), ("1:2:3:4:5:6:7", False), ("1.2.3.4.org", False)])
 def test_ip(spark, domain, is_ip):
     assert apply(spark, P.is_ip_domain, [domain]) == [is_ip]
 
@@ -78,6 +78,18 @@ def test_lists_from_files(spark, tmp_path):
         f.write("Rôot\nroot\n admin \n")
     df = read_lists(spark, {"names": str(tmp_path / "names.gz")})
     assert FilterLists.from_frame(df).names == {"root", "admin"}
-    people = spark.createDataFrame([("root",), ("bob",), (None,)], "name string")
-    assert {r[0] for r in anti_join(people, "name", df).collect()} == {"bob", None}
     assert FilterLists.defaults().names == DEFAULTS["names"]
+
+
+def test_lists_of_any_size(spark):
+    lists = {"emails": {"spam@mail.org"}, "domains": {"example.com"}, "top_level_domains": {"lan"}, "names": {"admin"}, "popular_names": {"bob"}}
+    df = spark.createDataFrame([(k, e) for k, v in lists.items() for e in v] + [("names", None), ("other", "x")], "list_name string, entry string")
+    large = FilterLists.from_frame(df, inline=0)
+    assert isinstance(large.names, DataFrame) and large.popular_emails == frozenset()
+    assert apply(spark, large.is_ignored_email, list(MAILS)) == list(MAILS.values())
+    assert apply(spark, large.is_ignored_name, ["Admin", "admin2", "", None]) == [True, False, False, False]
+    assert apply(spark, lambda c: ~large.is_popular_name(c), ["bob", "al", None]) == [False, True, True]
+    values = spark.createDataFrame([("admin",), ("al",), (None,)], "v string")
+    kept = values.where(~large.is_ignored_name(F.col("v")))
+    assert [r[0] for r in kept.collect()] == ["al", None]
+    assert "BroadcastNestedLoopJoin" not in kept._jdf.queryExecution().executedPlan().toString()

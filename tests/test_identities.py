@@ -42,16 +42,16 @@ def plain_components(pairs, ids):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("one_task", [10**6, 0])
+@pytest.mark.parametrize(("local_edges", "hot_rows"), [(10**6, 10**6), (7, 10**6), (7, 1)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_components_against_union_find(spark, one_task, seed):
+def test_components_against_union_find(spark, local_edges, hot_rows, seed):
     rnd = random.Random(seed)
     pairs = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 230)]
     df = spark.createDataFrame([*pairs, (7, None), (None, None)], "a long, b long")
-    got = {r.id: r.component for r in components(df, one_task).collect()}
+    got = {r.id: r.component for r in components(df, local_edges, hot_rows).collect()}
     want = plain_components(pairs, {x for p in pairs for x in p})
     assert got == {i: c for i, c in want.items() if any(i in p and p[0] != p[1] for p in pairs)}
-    assert label_all(spark.createDataFrame([(999,)], "id long"), df, one_task=one_task).collect() == [(999, 999)]
+    assert label_all(spark.createDataFrame([(999,)], "id long"), df, local_edges=local_edges).collect() == [(999, 999)]
 
 
 def test_no_edges(spark):
@@ -139,11 +139,13 @@ def test_identity_limit(spark):
 def test_fast_path_is_the_replay(spark, seed):
     """Splitting into components and skipping small ones changes nothing against one pass over everything."""
     rnd = random.Random(seed)
-    rows = [(i, f"n{rnd.randrange(14)}", "", f"e{rnd.randrange(25)}@x.com") for i in range(1, 61)]
+    rows = [(i, f"n{rnd.randrange(14)}", "", f"e{rnd.randrange(25)}@x.com") for i in range(1, 51)]
+    rows += [(i, *rnd.choice(rows)[1:]) for i in range(51, 91)]
     for limit in (3, 5, 9):
         whole = L.replay([(i, "", n, e, True, True) for i, n, _, e in rows], limit)
-        got = {r.id: r.component for r in L.limited_components(people(spark, rows).repartition(5), LISTS, limit).collect()}
-        assert got == whole
+        got = L.limited_components(people(spark, rows).repartition(5), LISTS, limit).collect()
+        assert {r.id: r.component for r in got} == {i: c for i, (c, _, _) in whole.items()}
+        assert sum(r.n_edges for r in got if r.replayed) == sum(whole[r.id][1] for r in got if r.replayed)
 
 
 def test_accounts(spark):
@@ -157,8 +159,8 @@ def test_accounts(spark):
 
     matches = external.lookup(df, Known)
     assert {r.email: r.user for r in matches.collect()} == {"a@x.com": "A", "b@x.com": "B", "c@x.com": None, "d@x.com": "D", "e@x.com": None}
-    known = spark.createDataFrame([("a@x.com", "kept")], "email string, user string")
-    assert {r.email: r.user for r in external.lookup(df, Known, known).collect()}["a@x.com"] == "kept"
+    known = spark.createDataFrame([("a@x.com", "", "", "kept")], "email string, repo string, hash string, user string")
+    assert {r.email for r in external.lookup(df, Known, known).collect()} == {"b@x.com", "c@x.com", "d@x.com", "e@x.com"}
     with_ids = external.with_accounts(df, matches)
     assert E.bridges(with_ids, LISTS).collect() == [("zed", 4, 5)]
     left = external.unmatched(df, matches)
@@ -220,13 +222,16 @@ def test_cache_round_trip(spark, tmp_path):
     path = str(tmp_path / "cache.csv")
     first, again = S.cached(spark, raw, path), S.cached(spark, None, path)
     pick = lambda df: sorted(tuple(r) for r in df.select("repo", "name", "email", "hash", "ts").collect())
-    assert pick(first) == pick(again) == pick(S.cleaned(raw))
+    assert pick(first) == pick(again) == pick(S.cleaned(raw.withColumn("repo", F.lower("repo"))))
     assert len(S.cache_key()) == 8 and S.cache_key("") == "811c9dc5"
     (tmp_path / "bad.csv").write_text("repo,name,email,hash\n")
     with pytest.raises(ValueError):
         S.read_cache(spark, str(tmp_path / "bad.csv"))
     (tmp_path / "rows.csv").write_text("time,repo,name,email,hash\n2020-01-01T00:00:00Z,r,N,e@x.com,H\n2020-01-01,r,N,e@x.com,H\n2020-01-01T00:00:00Z,,N,e@x.com,H\n")
-    assert [r.hash for r in S.read_cache(spark, str(tmp_path / "rows.csv")).collect()] == ["H"]
+    assert [r.hash for r in S.read_cache(spark, str(tmp_path / "rows.csv")).collect()] == ["h"]
+    (tmp_path / "wide.csv").write_text("repo,name,email,hash,time\nr,N,e@x.com,H,2020-01-01T00:00:00Z\nr,N,e@x.com,H,2020-01-01T00:00:00Z,more\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        S.read_cache(spark, str(tmp_path / "wide.csv")).collect()
 
 
 def test_other_sinks_and_sources(spark, tmp_path):
@@ -245,8 +250,35 @@ def test_other_sinks_and_sources(spark, tmp_path):
     assert S.read_research(spark, str(tmp_path / "research.csv")).count() == 1
     assert S.read_research(spark, str(tmp_path / "research.csv"), use_committer=True).count() == 3
     cache = str(tmp_path / "m.csv")
-    sinks.match_cache(spark.createDataFrame([("a", "u"), ("b", None)], "email string, user string"), cache)
-    assert sorted((r.email, r.user) for r in sinks.read_match_cache(spark, cache).collect()) == [("a", "u"), ("b", None)]
+    answers = "email string, repo string, hash string, user string, error string"
+    sinks.match_cache(spark.createDataFrame([("a", "", "", "u", None), ("b", "r", "h", None, None), ("c", "", "", None, "down")], answers), cache)
+    kept = sinks.read_match_cache(spark, cache)
+    sinks.match_cache(spark.createDataFrame([("d", "", "", "v", None)], answers), cache)
+    first = [("a", "", "", "u"), ("b", "r", "h", None)]
+    assert sorted(tuple(r) for r in kept.collect()) == first
+    assert sorted(tuple(r) for r in sinks.read_match_cache(spark, cache).collect()) == [*first, ("d", "", "", "v")]
+
+
+def test_lookup_by_commit_and_errors(spark):
+    """Every person is asked about by the own commit; an address that fails for one of them still links by address."""
+    rows = [(1, "al", "", "a@x.com", "h1", "r1"), (2, "al", "", "a@x.com", "h2", "r2"), (3, "bo", "", "b@x.com", "h3", "r3"), (4, "bo", "", "a@x.com", "h1", "r1")]
+    df = spark.createDataFrame(rows, PEOPLE)
+
+    class Commits:
+        supports_commits = True
+
+        def by_commit(self, email, repo, commit):
+            if commit == "h3":
+                raise OSError("service is down")
+            return {"h1": "A"}.get(commit)
+
+        def on_idle(self):
+            pass
+
+    found = external.lookup(df, Commits)
+    assert sorted((r.email, r.repo, r.hash, r.user, r.error) for r in found.collect()) == [("a@x.com", "r1", "h1", "A", None), ("a@x.com", "r2", "h2", None, None), ("b@x.com", "r3", "h3", None, "OSError: service is down")]
+    assert {r.id: r.external_id for r in external.with_accounts(df, found).collect()} == {1: "A", 2: "", 3: "", 4: "A"}
+    assert {r.email for r in external.unmatched(df, found).collect()} == {"a@x.com", "b@x.com"}
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -260,6 +292,36 @@ def test_command_line(spark, tmp_path, capsys):
         cli.parse(["--output", "x", "--commits", "c", "--external", "nobody"])
 
 
+def test_two_runs_share_the_answers_of_a_matcher(spark, tmp_path, capsys):
+    from kinfold import cli
+
+    asked = tmp_path / "asked.txt"
+    commits(spark).write.parquet(str(tmp_path / "commits"))
+
+    class Counting:
+        supports_commits = False
+
+        def by_email(self, email):
+            with asked.open("a") as f:
+                f.write(email + "\n")
+            if email.startswith("alice"):
+                return "Alice"
+            raise TimeoutError(email)
+
+    cli.MATCHERS["counting"] = lambda api_url, token: Counting()
+    try:
+        for out in ("one", "two"):
+            args = cli.parse(["--output", str(tmp_path / out), "--commits", str(tmp_path / "commits"), "--external", "counting", "--external-cache", str(tmp_path / "m.csv"), "--min-count", "1", "--lists", ""])
+            _, i = cli.run(spark, args, datetime(2020, 6, 1))
+            assert {r.external_id for r in spark.read.parquet(i).collect()} == {"Alice", ""}
+            assert '"graph edges"' in capsys.readouterr().out
+    finally:
+        del cli.MATCHERS["counting"]
+    # each address once a run; the one with an answer is not asked again, the one that failed is
+    assert sorted(asked.read_text().split()) == ["alice@google.com", "bob@google.com", "bob@google.com"]
+    assert sorted((r.email, r.user) for r in sinks.read_match_cache(spark, str(tmp_path / "m.csv")).collect()) == [("alice@google.com", "Alice")]
+
+
 def test_metrics_object():
     from kinfold.operators.metrics import Metrics
 
