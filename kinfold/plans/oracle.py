@@ -1,17 +1,10 @@
-"""SQL that gives the same rows as the core queries, where SQL can."""
-
-from kinfold.functions.clean import PARENS, accent_table
-from kinfold.functions.predicates import IPV4, IPV6
+"""SQL that gives the same rows as the core queries, where SQL can. Nothing here comes from the code under test."""
 
 _BLANK = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def _plain(x: str) -> str:
-    source, target, longer = accent_table()
-    out = f"translate({x}, '{source}', '{target}')"
-    for a, b in longer:
-        out = f"replace({out}, '{a}', '{b}')"
-    return out
+    return f"strip_accents({x})"
 
 
 def _tidy(x: str, low: bool = True) -> str:
@@ -36,7 +29,8 @@ _MULTI = "(length(email) - length(replace(email, '@', '')) > 1)"
 
 
 def _ip(x: str) -> str:
-    return f"(regexp_matches({x}, '{IPV4}') OR regexp_matches({x}, '{IPV6}'))"
+    full = "([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}"
+    return f"(regexp_matches({x}, '[0-9]+([.][0-9]+){{3}}$') OR contains({x}, '::') OR regexp_matches({x}, '{full}') OR regexp_matches({x}, 'fe80:%[0-9a-zA-Z]+'))"
 
 
 _IGNORED_MAIL = (
@@ -65,19 +59,47 @@ def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(p for p in parts if p) + "\n"
 
 
-def _components(nodes: str, *keys: str) -> str:
+def _components(nodes: str, *keys: str, out: str = "lab") -> str:
     links = "\n  UNION ".join(f"SELECT id, min(id) OVER (PARTITION BY k) AS r FROM ({k})" for k in keys)
-    return f"""a AS ({links}),
-e AS (SELECT id AS x, r AS y FROM a WHERE id <> r UNION SELECT r, id FROM a WHERE id <> r),
-cc(id, lab) USING KEY (id) AS (
+    return f"""a_{out} AS ({links}),
+e_{out} AS (SELECT id AS x, r AS y FROM a_{out} WHERE id <> r UNION SELECT r, id FROM a_{out} WHERE id <> r),
+c_{out}(id, lab) USING KEY (id) AS (
   SELECT id, id FROM {nodes}
   UNION
-  SELECT e.x, min(l.lab) FROM cc l JOIN e ON e.y = l.id JOIN recurring.cc r ON r.id = e.x WHERE l.lab < r.lab GROUP BY e.x, r.lab),
-lab AS MATERIALIZED (SELECT id, lab AS component FROM cc)"""
+  SELECT e.x, min(l.lab) FROM c_{out} l JOIN e_{out} e ON e.y = l.id JOIN recurring.c_{out} r ON r.id = e.x WHERE l.lab < r.lab GROUP BY e.x, r.lab),
+{out} AS MATERIALIZED (SELECT id, lab AS component FROM c_{out})"""
 
 
 _ALL = _components("pk", _MAILS, _NAMES)
 _BY_MAIL = _components("pk", _MAILS)
+#: The identity limit replayed: of every component taken without it, one person after another, all components side by side.
+#: A name that is not its key's first links to that first while both sides have fewer addresses and names than the limit.
+#: Row -1 counts the steps.
+
+
+def _limited(limit: int) -> str:
+    return f"""{_components("pk", _MAILS, out="bymail")},
+{_components("pk", _MAILS, _NAMES, out="whole")},
+big AS MATERIALIZED (SELECT component FROM pk JOIN whole USING (id) GROUP BY 1 HAVING count(DISTINCT email) + count(DISTINCT name_key) >= {limit}),
+node AS MATERIALIZED (SELECT pk.id, email, name_key, w.component AS whole, b.component AS bymail FROM pk JOIN whole w USING (id) JOIN big USING (component) JOIN bymail b USING (id)),
+event AS MATERIALIZED (SELECT id, anchor, row_number() OVER (PARTITION BY whole ORDER BY id) AS step FROM (
+  SELECT id, whole, min(id) OVER (PARTITION BY name_key) AS anchor FROM node WHERE NOT {_in('name_key', 'popular_names')}) WHERE id <> anchor),
+st(id, lab) USING KEY (id) AS (
+  SELECT id, bymail FROM node UNION SELECT -1, 0
+  UNION
+  SELECT * FROM (
+    WITH now AS (SELECT x.lab AS lx, y.lab AS ly FROM event
+        JOIN recurring.st t ON t.id = -1 AND event.step = t.lab + 1
+        JOIN recurring.st x ON x.id = event.id JOIN recurring.st y ON y.id = event.anchor WHERE x.lab <> y.lab),
+      side AS (SELECT s.lab, count(DISTINCT email) + count(DISTINCT name_key) AS n FROM recurring.st s JOIN node ON node.id = s.id
+        WHERE s.lab IN (SELECT lx FROM now UNION SELECT ly FROM now) GROUP BY 1),
+      merge AS (SELECT lx, ly FROM now JOIN side a ON a.lab = lx JOIN side b ON b.lab = ly WHERE a.n < {limit} AND b.n < {limit})
+    SELECT s.id, least(lx, ly) FROM recurring.st s JOIN merge ON s.lab = greatest(lx, ly) WHERE s.id > 0
+    UNION ALL SELECT -1, t.lab + 1 FROM recurring.st t WHERE t.id = -1 AND t.lab < (SELECT max(step) FROM event))),
+lab AS MATERIALIZED (SELECT id, component, false AS replayed FROM whole WHERE component NOT IN (SELECT component FROM big)
+  UNION ALL SELECT id, lab, true FROM st WHERE id > 0)"""
+
+
 _CUT = "TIMESTAMPTZ '2019-08-01 00:00:00+00'"
 
 
@@ -107,6 +129,10 @@ c AS (SELECT truth_id, found_id, count(*) AS common FROM t JOIN f USING (entity)
 s AS (SELECT truth_id, found_id, common, truth_size, found_size, common / found_size AS precision, common / truth_size AS recall FROM c
   JOIN (SELECT truth_id, count(*) AS truth_size FROM t GROUP BY 1) USING (truth_id) JOIN (SELECT found_id, count(*) AS found_size FROM f GROUP BY 1) USING (found_id)),
 sc AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM s)"""
+_OWN = """rows_ AS MATERIALIZED (SELECT id, email, unnest([concat('address ', email), concat('name ', name_key)]) AS entity FROM pk),
+t AS (SELECT DISTINCT u AS truth_id, entity FROM rows_ JOIN acc USING (email)),
+f AS (SELECT DISTINCT component AS found_id, entity FROM rows_ JOIN lab USING (id)),
+""" + _SCORES[_SCORES.index("c AS (") :]
 _COUNTS = f"""k AS (
   SELECT 'clean names' AS key, count(*) FILTER (WHERE {_tidy('p')} <> p) AS value FROM (SELECT {_plain('name')} AS p FROM src)
   UNION ALL SELECT 'clean emails', count(*) FILTER (WHERE {_tidy('p')} <> p) FROM (SELECT {_plain('email')} AS p FROM src)
@@ -149,6 +175,23 @@ _SHOW = "concat('[', {}, ' ', {}, ' ', {}, ' ', {}, ' ', coalesce(strftime(timez
     *[f"CASE WHEN {c} = '' THEN '<no {c}>' ELSE {c} END" for c in ("repo", "name", "email", "hash")]
 )
 
+_FIELD = '"(?:[^"]|"")*"|[^",]*'
+_LINES = rf"""
+WITH f AS (
+  SELECT line_id, raw_line, CASE WHEN raw_line IS NULL OR raw_line = '' THEN 'columns'
+      WHEN NOT regexp_full_match(raw_line, '(?:{_FIELD})(?:,(?:{_FIELD}))*') THEN 'quoting' END AS broken,
+    list_transform(regexp_extract_all(',' || raw_line, ',({_FIELD})', 1),
+      lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS fs
+  FROM commit_lines),
+t AS (SELECT *, list_transform(fs, lambda x: trim(x, ' ')) AS ts, regexp_extract(trim(fs[5], ' '), '^([0-9]{{4}})-([0-9]{{2}}-[0-9]{{2}})T([0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}})(?:[.]([0-9]+))?(Z|[+-][0-9]{{2}}:[0-9]{{2}})$',
+    ['y', 'd', 'c', 'f', 'z']) AS w FROM f),
+r AS (SELECT *, try_cast(concat(w.y, '-', w.d, ' ', w.c) AS TIMESTAMP) AS base, CASE
+    WHEN broken IS NOT NULL THEN broken WHEN len(fs) <> 5 THEN 'columns'
+    WHEN len(list_filter(ts[1:3], lambda x: x = '' OR length(x) > 50 OR regexp_matches(x, '[\x00-\x1F\x7F\x{{FFFD}}]'))) > 0 THEN 'value'
+    WHEN NOT regexp_full_match(ts[3], '[^@\s\p{{Z}}\x{{85}}]+@[^@\s\p{{Z}}\x{{85}}]+') OR NOT regexp_full_match(ts[4], '[0-9a-f]{{40}}') THEN 'value'
+    WHEN w.y < '0001' OR base IS NULL OR w.c >= '24' OR w.z[2:3] > '23' OR w.z[5:6] > '59' THEN 'value' END AS reason FROM t)
+"""
+
 _P4 = """
 WITH u AS (
   SELECT 'commit_author_name' AS field, commit_author_name AS k, repository_id AS r, commit_author_when AS w FROM commits
@@ -164,7 +207,7 @@ SQL = {
     "clean_names": _scalar(_N, "cleaned", _clean("value")),
     "clean_emails": _scalar(_M, "cleaned", _clean("value")),
     "clean_names_keep_case": _scalar(_N, "tidied", _tidy("value", False)),
-    "remove_parens": _scalar(_N, "without", f"regexp_replace(value, '{PARENS}', '\\1', 'g')"),
+    "remove_parens": _scalar(_N, "without", r"regexp_replace(value, '([^(])[\t\n\f\r ][(][^)]+[)]', '\1', 'g')"),
     "pred_capitalized": _scalar(_N, "flag", r"regexp_matches(value, '^\p{Lu}')"),
     "pred_latin_letters": _scalar(_N, "flag", "regexp_matches(value, '[a-zA-Z]')"),
     "pred_multi_email": _mail(_MULTI),
@@ -179,7 +222,7 @@ SQL = {
     "pred_popular_name": _name(_in("name", "popular_names")),
     "filter_lists_clean": _with(_LISTS) + "SELECT * FROM fl",
     "signature_labels": _with(_GROUP) + f"SELECT row_ix, {_SHOW} AS label FROM src",
-    "csv_cache": _with(_SIG) + f"SELECT {_tidy('repo', False)} AS repo, name, email, {_tidy('hash', False)} AS hash, timezone('UTC', ts) AS ts FROM sig",
+    "csv_cache": _with(_SIG) + f"SELECT {_clean('repo')} AS repo, name, email, {_clean('hash')} AS hash, timezone('UTC', ts) AS ts FROM sig",
     "people_filtered": _with(_SIG) + "SELECT id, name, repo, email, hash, sample_repo FROM people_",
     "popular_scope": _with(_SIG) + "SELECT id, name, repo FROM people_ WHERE repo <> ''",
     "name_keys": _with(_SIG) + "SELECT id, name_key FROM pk",
@@ -205,6 +248,9 @@ SQL = {
     "primary_name": _with(_SIG, _ALL) + "SELECT * FROM " + _primary("name"),
     "primary_email": _with(_SIG, _ALL) + "SELECT * FROM " + _primary("email"),
     "identities": _with(_SIG, _ALL, _IDENTITIES) + "SELECT * FROM idn",
+    "limited_components": _with(_SIG, _limited(20)) + "SELECT id, component FROM lab",
+    "limited_components_4": _with(_SIG, _limited(4)) + "SELECT id, component, replayed FROM lab",
+    "limited_identities": _with(_SIG, _limited(20), _IDENTITIES) + "SELECT * FROM idn",
     "limit_fastpath": _with(_SIG, _ALL)
     + "SELECT id, component FROM lab WHERE component IN (SELECT component FROM pk JOIN lab USING (id) GROUP BY 1 HAVING count(DISTINCT email) + count(DISTINCT name_key) < 20)",
     "research_union_find": _with(
@@ -226,12 +272,23 @@ SQL = {
     "eval_macro": _with(_SIG, _BY_MAIL, _ACCOUNTS, _SCORES) + "SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM sc",
     "eval_weighted": _with(_SIG, _BY_MAIL, _ACCOUNTS, _SCORES)
     + "SELECT round(sum(precision * found_size) / sum(found_size), 6) AS precision, round(sum(recall * found_size) / sum(found_size), 6) AS recall, round(sum(f1 * found_size) / sum(found_size), 6) AS f1 FROM sc",
+    "eval_identity_pairs": _with(_SIG, _ALL, _ACCOUNTS, _OWN) + "SELECT * REPLACE (round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1) FROM sc",
+    "eval_identity_macro": _with(_SIG, _ALL, _ACCOUNTS, _OWN) + "SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM sc",
+    "eval_identity_weighted": _with(_SIG, _ALL, _ACCOUNTS, _OWN)
+    + "SELECT round(sum(precision * found_size) / sum(found_size), 6) AS precision, round(sum(recall * found_size) / sum(found_size), 6) AS recall, round(sum(f1 * found_size) / sum(found_size), 6) AS f1 FROM sc",
     "metrics_counts": _with(_SIG, _ALL, _ACCOUNTS, _COUNTS) + "SELECT key, round(value::DOUBLE, 6) AS value FROM k",
+    "metrics_json": _with(_SIG, _ALL, _ACCOUNTS, _COUNTS)
+    + """SELECT concat('{', string_agg(concat('"', key, '":', round(value::DOUBLE, 6)), ',' ORDER BY key), '}') AS json FROM k WHERE value <> 0""",
     "tables_round_trip": _with(_SIG, _ALL, _MERGED, _IDENTITIES)
     + "SELECT id, len(string_split(names, '|')) AS n_names, emails, primary_name, primary_email, external_id FROM m JOIN idn USING (id)",
     "p4_found": _P4
     + """SELECT field, k AS hot_value FROM u WHERE k IS NOT NULL GROUP BY field, k
 HAVING count(*) >= 0.01 * (SELECT count(*) FROM commits)""",
+    "p6_found": _LINES + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
+    "p6_valid": _LINES
+    + """SELECT line_id, fs[1] AS repository_id, fs[2] AS commit_author_name, fs[3] AS commit_author_email, ts[4] AS commit_hash,
+  base + to_microseconds(rpad(w.f[1:6], 6, '0')::BIGINT) - CASE WHEN w.z = 'Z' THEN INTERVAL 0 MINUTE
+    ELSE to_minutes((w.z[1] || '1')::BIGINT * (w.z[2:3]::BIGINT * 60 + w.z[5:6]::BIGINT)) END AS commit_author_when FROM r WHERE reason IS NULL""",
     "p4_keys": _P4
     + """SELECT field, k AS key, count(*) AS n_rows, count(DISTINCT r) AS n_repositories,
   timezone('UTC', min(w)) AS first_when, timezone('UTC', max(w)) AS last_when FROM u WHERE k IS NOT NULL GROUP BY field, k""",
