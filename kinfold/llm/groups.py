@@ -8,15 +8,19 @@ round is
    vertex it holds, the smallest vertex of its local component;
 2. exchange: a vertex occurs in the cells of one row and one column; its parent
    is the smallest representative any of them gave;
-3. parents are followed until they no longer change;
-4. edges are rewritten to the parents' names, loops and repeats dropped.
-
-Rounds go on until no edge is left. Every vertex that has a smaller neighbour
-gets a parent, so the vertices at least halve per round, and cells are solved
-whole, so in practice two or three rounds do. ``B`` follows the number of
-remaining edges: the memory of a task is bounded by ``edges_per_cell``, not by
-the graph, and a vertex with very many edges spreads them over the ``B`` cells
-of its row and column. Nothing of the graph comes to the driver but counts.
+3. every other representative it was given belongs to the same group: these
+   (parent, representative) pairs are the edges of the next round.
+
+Rounds go on until parents are stable, that is until no such pair is left; then
+parents are followed from the last round back to the first. Every vertex with a
+smaller neighbour gets a parent and only representatives go on, so the vertices
+at least halve per round. ``B`` follows the number of edges: up to
+``edges_per_cell`` of them in a cell, and as many cells as cores where these get
+some thousand edges each. So the memory of a task is bounded, not by the graph,
+and a vertex with very many edges spreads them over the ``B`` cells of its row
+and column. A vertex that represents very many others is a hot key when parents
+are followed; :func:`kinfold.operators.skew.lookup_join` leaves its rows spread
+over the tasks. Nothing of the graph comes to the driver but counts.
 """
 
 from __future__ import annotations
@@ -28,9 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from kinfold.session import ship, written
+from kinfold.operators.skew import HOT_ROWS, lookup_join
+from kinfold.session import discard, ship, written
 
 EDGES_PER_CELL = 1 << 18
+LEAST_PER_CELL = 1 << 12
 SALTS = 32
 
 
@@ -94,7 +100,7 @@ def _grid_round(edges: DataFrame, blocks: int) -> DataFrame:
     )
 
 
-def connected_groups(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL) -> DataFrame:
+def connected_groups(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL, hot_rows: int = HOT_ROWS, least_per_cell: int = LEAST_PER_CELL) -> DataFrame:
     """(``id``, ``group_id``) of every vertex that has an edge to another one; ``group_id`` is the smallest id of the group.
 
     ``edges``: two columns of long, in any order and direction. Repeated and
@@ -110,44 +116,25 @@ def connected_groups(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL) ->
         "edges",
     )
     rounds: list[DataFrame] = []
+    cores = spark.sparkContext.defaultParallelism
     while n_edges := current.count():
-        blocks = max(1, math.ceil(math.sqrt(2 * n_edges / edges_per_cell) - 0.5))
-        stars = _grid_round(current, blocks)
-        if blocks == 1:
-            rounds.append(written(stars.select("v", F.col("root").alias("parent")), "parents"))
-            break
-        stars = written(stars, "stars")
-        parents = _settled(written(stars.groupBy("v").agg(F.min("root").alias("parent")), "parents"))
-        rounds.append(parents)
-        # v and each representative it was given belong together: the edge between the two parents keeps that
-        up = parents.withColumnRenamed("parent", "p")
-        current = written(
-            stars.where(F.col("v") != F.col("root"))
-            .join(up.withColumnRenamed("p", "pv"), "v")
-            .join(up.select(F.col("v").alias("root"), F.col("p").alias("pr")), "root")
-            .select(F.least("pv", "pr").alias("src"), F.greatest("pv", "pr").alias("dst"))
-            .where(F.col("src") < F.col("dst")).distinct(),
-            "edges",
-        )
+        cells = max(1, n_edges / edges_per_cell, min(cores, n_edges / least_per_cell))
+        stars = _grid_round(current, math.ceil(math.sqrt(2 * cells) - 0.5))
+        stars = written(stars.withColumn("parent", F.min("root").over(W.partitionBy("v"))), "stars")  # a vertex has at most a row for each cell of its row and column
+        rounds.append(stars.select("v", "parent").distinct())
+        left = stars.where(F.col("root") != F.col("parent")).select(F.col("parent").alias("src"), F.col("root").alias("dst")).distinct()
+        discard(current)
+        current = written(left, "edges")
+    discard(current)
     if not rounds:
         return spark.createDataFrame([], "id long, group_id long")
     result = rounds[-1]
     for earlier in reversed(rounds[:-1]):
-        later = result.select(F.col("v").alias("parent"), F.col("parent").alias("top"))
-        result = earlier.join(later, "parent", "left").select("v", F.coalesce("top", "parent").alias("parent"))
+        later = written(result.select(F.col("v").alias("parent"), F.col("parent").alias("top")), "tops")
+        result = lookup_join(written(earlier, "parents"), later, "parent", "left", hot_rows=hot_rows).select("v", F.coalesce("top", "parent").alias("parent"))
     return result.select(F.col("v").alias("id"), F.col("parent").alias("group_id"))
 
 
-def _settled(parents: DataFrame) -> DataFrame:
-    """Pointer jumping until every vertex names a vertex that is its own parent; the length of chains halves each time."""
-    while True:
-        above = parents.select(F.col("v").alias("parent"), F.col("parent").alias("above"))
-        moved = parents.join(above, "parent").select("v", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved"))
-        parents = written(moved, "parents")
-        if parents.where("moved").limit(1).count() == 0:
-            return parents.select("v", "parent")
-
-
 def star_edges(members: DataFrame, key_cols: list[str], id_col: str = "id", salts: int = SALTS) -> DataFrame:
     """(src, dst) edges that connect all ids sharing a key, one per row instead of all pairs.
 

@@ -21,19 +21,27 @@ def plain(pairs):
     return {i: root(i) for i in top}
 
 
-@pytest.mark.parametrize("per_cell", [10, 60, 1 << 18])
-def test_grid_against_union_find(spark, per_cell):
+@pytest.mark.parametrize(("per_cell", "hot_rows"), [(10, 1), (60, 10**6), (1 << 18, 10**6)])
+def test_grid_against_union_find(spark, per_cell, hot_rows):
     rnd = random.Random(per_cell)
     chain = [(i, i + 1) for i in range(1000, 1060)]
     rnd.shuffle(chain)
     hub = [(5000, i) for i in range(5001, 5080)]
     pairs = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + chain + hub
     dirty = [*pairs, *[(b, a) for a, b in pairs[:30]], *pairs[:30], (3, 3), (None, 5), (7, None)]
-    got = {r.id: r.group_id for r in groups.connected_groups(spark.createDataFrame(dirty, "a long, b long"), per_cell).collect()}
+    got = {r.id: r.group_id for r in groups.connected_groups(spark.createDataFrame(dirty, "a long, b long"), per_cell, hot_rows, 20).collect()}
     linked = [p for p in pairs if p[0] != p[1]]
     assert got == plain(linked)
 
 
+def test_few_edges_still_lie_in_several_cells(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "src long, dst long")
+    found = groups._grid_round(edges, 4)
+    assert found.rdd.getNumPartitions() == 10
+    given = {r.v for r in found.collect()}
+    assert given == set(range(51)) and found.count() > 51  # ends in several cells get several representatives
+
+
 def test_no_edges(spark):
     assert groups.connected_groups(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).collect() == []
 
