@@ -120,6 +120,46 @@ def test_common_mailbox_name_keeps_evidence(spark):
     assert got == want
 
 
+def test_what_is_no_evidence(spark):
+    """A given name and a mailbox of that name make nobody of two people; a family name tells more at one address than across domains."""
+    rows = [
+        ("John Smith", "john@a.example"), ("John Doe", "john@b.example"), ("Mary Wolatinez", "wolatinez@a.example"), ("Paul Wolatinez", "wolatinez@b.example"),
+        ("Ann Brukamel", "pair@a.example"), ("Ann Postevin", "pair@a.example"),
+        ("Maggie Ledavanen", "ledavanen14v@a.example"), ("Margaret Ledavanen", "ledavanen14v@b.example"), ("M. Ledavanen", "ledavanen14v@c.example"),
+        ("Grutik Software", "info@a.example"), ("Grutik SW", "info@b.example"),
+    ]
+    got = {tuple(r) for r in spellings.spelling_pairs(spark.createDataFrame(rows, "n string, e string"), "n", "e").collect()}
+    same = [sorted(n for n, _ in rows[6:9]), sorted(n for n, _ in rows[9:])]
+    assert got == {p for names in same for p in itertools.combinations(names, 2)}
+
+
+def test_agreement_of_names():
+    agree = lambda key, a, b: spellings.agree(key, *(spellings.name_words(x) for x in (a, b)))
+    for a, b in (("Søren Nabopinkova", "nabopinkova soren"), ("S. Nabopinkova", "Soren Nabpoinkova"), ("snabopinkova", "Soren Nabopinkova"), ("Labs of Gruv", "Laboratories Gruv"), ("Ann Mary Lee", "Lee, Ann"), ("sorennabopinkova", "Soren B. Nabopinkova")):
+        assert agree("m x", a, b), (a, b)
+    for a, b in (("john smith", "john doe"), ("ann lee", "bob lee"), ("soren", "soren nabopinkova"), ("lee ann", "ann moore")):
+        assert not agree("m x", a, b), (a, b)
+    assert agree("a x@y", "ann ledavanen", "bob ledavanen") and not agree("m ledavanen", "ann ledavanen", "bob ledavanen")
+    assert spellings.trie_links(["john smith", "john doe"], "m john") == [] == spellings.trie_links(["john smith", "john doe"], "a john@x.y")
+
+
+def test_a_large_shard_is_linked_whole(spark):
+    """500 spellings of one name at 500 addresses with one mailbox name, among as many names of other people."""
+    rnd = random.Random(11)
+    spelled = {"Ottokar Wilberforcedottir"}
+    while len(spelled) < 500:
+        w = list(rnd.choice(["ottokar wilberforcedottir", "wilberforcedottir ottokar"]))
+        w[rnd.randrange(len(w))] = rnd.choice("abcdefghijklmnop")
+        spelled.add("".join(w))
+    others = ["".join(rnd.choices("bcdfgklmnprst", k=7)) + " " + "".join(rnd.choices("aeiouvwxz", k=9)) for _ in range(500)]
+    df = spark.createDataFrame([(n, f"me@d{i}.example") for i, n in enumerate([*sorted(spelled), *others])], "n string, e string")
+    got = spellings.spelling_entities(df, "n", "e").collect()
+    kept = {r.value for r in got} & {s for s in spelled if len(s.split()) == 2 and all(len(x) > 2 for x in s.split())}
+    whole = {s for s in spelled if len(s.split()) == 2}
+    assert kept >= {s for s in whole if len(s.split()[0]) in (7, 17)} and len({r.entity for r in got if r.value in kept}) == 1
+    assert not {r.value for r in got} & set(others)
+
+
 def test_pieces_bring_near_forms_together():
     rnd = random.Random(3)
     words = ["".join(rnd.choices("ab", k=rnd.randrange(1, 12))) for _ in range(400)]
