@@ -20,17 +20,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from kinfold.session import ship
 
-# Letters of other alphabets that show as a Latin letter.
+# Letters of other alphabets that show as one Latin letter, all of them in Unicode's table of confusables (UTS 39).
+# Left out are Latin letters themselves (a dotless i shows its missing dot) and small Greek ones of another shape (alpha, iota).
 LOOK_ALIKE = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C",
     "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Һ": "H",
     "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d",
     "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "Ӏ": "I",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
-    "Υ": "Y", "Χ": "X", "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J",
+    "Υ": "Y", "Χ": "X", "ν": "v", "ο": "o", "ρ": "p", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J",
     "Օ": "O", "Տ": "S", "օ": "o", "ս": "u", "ց": "g", "հ": "h", "ո": "n", "զ": "q",
     "ⅼ": "l", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮇ": "M", "Ꮲ": "P", "Ꭲ": "T", "Ꮓ": "Z",
-    "ı": "i", "ɑ": "a", "ɡ": "g",
 }
 
 # Kinds of compatibility mapping that keep the shown text: width, joined letters, typeface, presentation forms.

@@ -81,10 +81,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """For every document with shared text: its number of runs, shared characters and length."""
-    sizes = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    """For every document its number of runs, shared characters and length; a null text has length 0."""
+    sizes = table(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
     runs = p10_found(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("n_shared"))
-    return runs.join(sizes, "doc_id")
+    return sizes.join(runs, "doc_id", "left").fillna(0, ["n_runs", "n_shared"])
 
 
 QUERIES = {

@@ -13,10 +13,12 @@ looked at with twice the length (50, 100, 200 for ``length`` 200).
   and the windows to the left and right of the anchor doubled: a shared stretch
   of 200 around an anchor holds the 100 characters from the anchor on or the 100
   up to its end, so only where one of these repeats the stretches of 200 are
-  compared.
+  compared. Windows are grouped by hashes; what decides the result is then
+  compared as text.
 
 Aggregates carry the smallest and largest record of a window, never its list of
 records, so a span copied into a third of all records is a few rows per task.
+No key table is broadcast but those of hot keys, whose number is bounded.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from kinfold.operators.skew import HOT_ROWS, lookup_join
 from kinfold.session import discard, ship, written
 
 OUTSIDE = 0x110000  # stands for the places before and after a text
 BLOCK = 1 << 19
-BROADCAST_KEYS = 1_000_000  # 8 bytes each; wider rows count fourfold
+#: An anchor with more different surroundings is spread over tasks; 350 characters each, so a task holds some megabytes of one.
 GROUP_LIMIT = 8_000
 
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -169,20 +172,20 @@ def _find_anchors(levels: Levels, id_col: str):
 
 
 def _surroundings(levels: Levels):
-    """(h, w, low, high, at, ctx) for each requested place of each text: the characters within reach of the anchor."""
+    """(h, w, low, high, at, ctx, large) for each requested place of each text: the characters within reach of the anchor."""
     base, reach = levels.base, levels.reach
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for text, wanted in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
                 for r in wanted.as_py():
                     begin = max(0, r["first"] - reach)
-                    for column, value in zip(out, (r["h"], r["w"], r["low"], r["high"], r["first"] - begin, text[begin : r["first"] + base + reach])):
+                    for column, value in zip(out, (r["h"], r["w"], r["low"], r["high"], r["first"] - begin, text[begin : r["first"] + base + reach], r["large"])):
                         column.append(value)
-            kinds = [pa.int64()] * 4 + [pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["h", "w", "low", "high", "at", "ctx"])
+            kinds = [pa.int64()] * 4 + [pa.int32(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["h", "w", "low", "high", "at", "ctx", "large"])
 
     return cut
 
@@ -246,6 +249,52 @@ def double_sides(group: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.nd
             np.maximum.at(left, r, b)
             np.minimum.at(least, r, b)
             right[r] = n - least[r]
+            ends = np.unique(r)
+            if not _same_text(codes, group, low, high, r, b, window(r, reach - b, n) + b.astype(np.uint64) * _M1, left, least, ends, reach, n):
+                return _exact_sides(group, low, high, begin, end, codes, levels)
+    return left, right
+
+
+def _same_text(codes, group, low, high, r, b, keys, left, least, ends, reach: int, n: int) -> bool:  # noqa: ANN001
+    """Whether the outermost windows of each class have the text of the windows that gave their key its smallest and largest record."""
+    outer = np.flatnonzero((b == left[r]) | (b == least[r]))
+    order = np.lexsort((low[r], keys))
+    first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    smallest = np.empty(len(r), dtype=np.int64)
+    smallest[order] = np.repeat(order[first], np.diff(np.concatenate([first, [len(r)]])))
+    order = np.lexsort((-high[r], keys))
+    largest = np.empty(len(r), dtype=np.int64)
+    largest[order] = np.repeat(order[first], np.diff(np.concatenate([first, [len(r)]])))
+    for other in (smallest, largest):
+        x, y = outer, other[outer]
+        if (group[r[x]] != group[r[y]]).any() or (b[x] != b[y]).any():
+            return False
+        for at in range(0, len(x), 4096):
+            columns = (reach - b[x[at : at + 4096]])[:, None] + np.arange(n)
+            if (codes[r[x[at : at + 4096]][:, None], columns] != codes[r[y[at : at + 4096]][:, None], columns]).any():
+                return False
+    return True
+
+
+def _exact_sides(group, low, high, begin, end, codes, levels: Levels) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """:func:`double_sides` by the windows' texts themselves, for the case that two of them had one hash."""
+    reach, n = levels.reach, levels.length
+    records: dict[tuple[int, int, bytes], tuple[int, int]] = {}
+    own: list[list[tuple[int, tuple]]] = []
+    for i in range(len(group)):
+        mine = []
+        for back in range(reach + 1):
+            if begin[i] <= reach - back and reach - back + n <= end[i]:
+                key = (int(group[i]), back, codes[i, reach - back : reach - back + n].tobytes())
+                a, z = records.get(key, (int(low[i]), int(high[i])))
+                records[key] = (min(a, int(low[i])), max(z, int(high[i])))
+                mine.append((back, key))
+        own.append(mine)
+    left, right = np.full(len(group), -1, dtype=np.int32), np.full(len(group), -1, dtype=np.int32)
+    for i, mine in enumerate(own):
+        backs = [back for back, key in mine if records[key][0] != records[key][1]]
+        if backs:
+            left[i], right[i] = max(backs), n - min(backs)
     return left, right
 
 
@@ -284,7 +333,6 @@ def _doubling(levels: Levels, at_once: int = 4096):
 def _spread(ctx: DataFrame, levels: Levels) -> DataFrame:
     """:func:`double_sides` for anchors with very many different surroundings: windows are grouped over the cluster, by 128-bit hashes."""
     n, half, reach = levels.length, 2 * levels.base, levels.reach
-    ctx = written(ctx, "large")
 
     def windows(rows: DataFrame, places: list[int], size: int) -> DataFrame:
         """One row for each window of ``size`` characters that begins so many characters before the anchor and lies in the text."""
@@ -299,16 +347,11 @@ def _spread(ctx: DataFrame, levels: Levels) -> DataFrame:
         return rows.join(more, key)
 
     alive = written(shared(windows(ctx, [0, levels.base], half)).select("h", "w").distinct(), "alive")
-    found = shared(windows(ctx.join(_small(alive), ["h", "w"], "left_semi"), list(range(reach + 1)), n))
+    found = shared(windows(ctx.join(alive, ["h", "w"], "left_semi"), list(range(reach + 1)), n))
     return found.groupBy("h", "w").agg(F.max("back").cast("int").alias("left"), (F.lit(n) - F.min("back")).cast("int").alias("right"))
 
 
-def _small(keys: DataFrame) -> DataFrame:
-    """A written table of keys, broadcast only if it is counted to be small."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
-def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 200, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 200, group_limit: int = GROUP_LIMIT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(``id_col``, ``start_pos``, ``end_pos``): each longest unbroken run of characters that lie in a shared stretch.
 
     A stretch of ``length`` characters (a multiple of 4) is shared if it stands,
@@ -325,29 +368,29 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 200, g
 
     repeated = found.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where(F.col("a") != F.col("b")).select("h")
     repeated = written(repeated, "repeated")
-    live = written(found.join(_small(repeated), "h", "left_semi"), "live")
-    discard(found)
+    live = written(lookup_join(found, repeated.hint("shuffle_hash"), "h", hot_rows=hot_rows), "live")
+    discard(found, repeated)
 
     classes = written(live.groupBy("h", "w").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("first", "id").alias("first")), "classes")
     settled = classes.where(F.col("low") != F.col("high")).select("h", "w", F.lit(levels.reach).alias("left"), F.lit(length).alias("right"))
     sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.max(F.col("low") == F.col("high")).alias("open"))
     sizes = written(sizes.where("open and size > 1").select("h", "size"), "open")
-    request = F.struct("h", "w", "low", "high", "first")
-    wanted = classes.join(sizes, "h", "left_semi").groupBy(F.col("low").alias("id")).agg(F.collect_list(request).alias("wanted"))
+    request = F.struct("h", "w", "low", "high", "first", (F.col("size") > group_limit).alias("large"))
+    wanted = lookup_join(classes, sizes.hint("shuffle_hash"), "h", hot_rows=hot_rows).groupBy(F.col("low").alias("id")).agg(F.collect_list(request).alias("wanted"))
     wanted = written(wanted, "wanted")
-    n_wanted = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    ctx = docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_KEYS // 4 else wanted, "id").select("text", "wanted")
-    ctx = ctx.mapInArrow(_surroundings(levels), "h long, w long, low long, high long, at int, ctx string")
-    big = sizes.where(F.col("size") > group_limit).select("h")
-    some_big = big.limit(1).count() > 0
-    usual = ctx.join(F.broadcast(big), "h", "left_anti") if some_big and big.count() <= BROADCAST_KEYS else ctx.join(big, "h", "left_anti") if some_big else ctx
-    ends = usual.repartition("h").sortWithinPartitions("h").mapInArrow(_doubling(levels), "h long, w long, left int, right int")
-    if some_big:
-        ends = ends.union(_spread(ctx.join(big, "h", "left_semi"), levels))
+    ctx = docs.join(wanted.hint("shuffle_hash"), "id").select("text", "wanted")
+    ctx = written(ctx.mapInArrow(_surroundings(levels), "h long, w long, low long, high long, at int, ctx string, large boolean"), "surroundings")
+    discard(wanted)
+    usual = ctx.where("NOT large").drop("large").repartition("h").sortWithinPartitions("h")
+    ends = usual.mapInArrow(_doubling(levels), "h long, w long, left int, right int")
+    large = ctx.where("large").drop("large")
+    if not large.isEmpty():
+        ends = ends.union(_spread(large, levels))
     # a settled class is shared as far as a stretch can reach, so what its group found for it adds nothing
-    reached = settled.union(ends.join(settled, ["h", "w"], "left_anti"))
+    reached = written(settled.union(ends.join(settled.hint("shuffle_hash"), ["h", "w"], "left_anti")), "reached")
+    discard(ctx, sizes, classes)
 
-    runs = live.join(reached, ["h", "w"]).select(
+    runs = lookup_join(live, reached.hint("shuffle_hash"), ["h", "w"], hot_rows=hot_rows).select(
         "id",
         F.greatest(F.col("first") - F.col("left"), F.lit(0)).alias("begin"),
         F.least(F.col("last") + F.col("right"), F.col("n")).alias("end"),

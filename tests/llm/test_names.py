@@ -13,7 +13,7 @@ SAME = [
     ("Vlad Kłagizesk", "Vlad Kłаgizes\ufe0fk"), ("stop", "ﬆop"), ("é", "e\u0301"), ("A B", "Ａ\u3000B "), ("x", "\u200ex"), ("ạ\u0307", "a\u0307\u0323"),
     ("soft", "so\u00adft"), ("a b", "\ta\u00a0 b"), ("è", "ѐ"), ("e\u0301", "e\u200b\u0301"), ("한", "한"),
 ]
-DIFFERENT = [("Ann", "ann"), ("e", "é"), ("A.B", "A B"), ("ab", "a b"), ("x2", "x²"), ("Ann Lee", "Lee Ann"), ("l", "1")]
+DIFFERENT = [("Ann", "ann"), ("e", "é"), ("A.B", "A B"), ("ab", "a b"), ("x2", "x²"), ("Ann Lee", "Lee Ann"), ("l", "1"), ("Yıldız", "Yildiz"), ("α", "a")]
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)

@@ -165,9 +165,8 @@ def brute_spans(rows, n):
     return out
 
 
-@pytest.mark.parametrize("limit", [1, 20_000])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_shared_spans_against_brute_force(spark, monkeypatch, limit, seed):
+@pytest.mark.parametrize(("limit", "hot", "seed"), [(1, 1, 1), (20_000, 10**6, 1), (20_000, 1, 2)])
+def test_shared_spans_against_brute_force(spark, monkeypatch, limit, hot, seed):
     monkeypatch.setattr(spans, "BLOCK", 700)
     rnd = random.Random(seed)
     base = ["".join(rnd.choices("abcdef é\U0001f600", k=rnd.randrange(40, 160))) for _ in range(6)]
@@ -182,10 +181,23 @@ def test_shared_spans_against_brute_force(spark, monkeypatch, limit, seed):
     rows += [(100, "ab" * 300), (101, "x" + "ab" * 150), (102, "-" * 500), (103, "y" + "-" * 90), (104, None), (105, ""), (106, base[0] * 2), (107, base[0] + base[1] + base[0] * 3)]
     rows += [(200 + k, base[2] + base[3]) for k in range(5)] + [(300, "q" * 2500 + base[4] + "r" * 100), (301, "s" + base[4] + "r" * 60)]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, id string, first int").repartition(3)
-    got = {tuple(r) for r in spans.shared_spans(df, "doc_id", "text", 40, limit).collect()}
+    got = {tuple(r) for r in spans.shared_spans(df, "doc_id", "text", 40, limit, hot).collect()}
     assert got == brute_spans(rows, 40)
 
 
+def test_equal_hashes_of_different_texts(monkeypatch):
+    """With a hash that tells nothing apart, the texts decide."""
+    levels = spans.Levels(40)
+    rnd = random.Random(4)
+    text = "".join(rnd.choices("abcd", k=70))
+    ctx = [text, "xx" + text[2:-3] + "yyy", "".join(rnd.choices("efgh", k=70)), text[:-20] + "".join(rnd.choices("z", k=20))]
+    args = (np.zeros(4, np.int64), np.arange(4), np.arange(4), np.full(4, levels.reach), ctx, levels)
+    want = [x.tolist() for x in spans.double_sides(*args)]
+    assert want[0][2] == -1 and want[0][0] >= 0
+    monkeypatch.setattr(spans, "_mixed", lambda x: np.zeros_like(x))
+    assert [x.tolist() for x in spans.double_sides(*args)] == want
+
+
 def test_spans_of_nothing(spark):
     df = spark.createDataFrame([(1, "a" * 500), (1, "a" * 500), (None, "a" * 500)], "doc_id long, text string")
     assert spans.shared_spans(df, "doc_id", "text").collect() == []
