@@ -13,6 +13,7 @@ import re
 import sys
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -22,10 +23,7 @@ from kinfold.session import ship
 FIELDS = ("repository_id", "commit_author_name", "commit_author_email", "commit_hash", "commit_author_when")
 MAX_CHARS = 50
 
-# Line ends inside a record are ordinary characters of a field; the reader would take them for the end of the record.
-_HIDE = {ord("\r"): "\ue00d", ord("\n"): "\ue00a"}
-_SHOW = {0xE00D: "\r", 0xE00A: "\n"}
-
+_PRIVATE_USE = range(0xE000, 0xF900)
 _BARE_QUOTE = re.compile(r'(?:\A|,)[^",][^",]*"')
 _QUOTED = re.compile(r'(\A|,)"(?:[^"]|"")*"')
 _UNUSABLE = re.compile("[\x00-\x1f\x7f\ufffd]")
@@ -42,44 +40,27 @@ def split_record(line: str | None) -> list[str]:
     """The fields of one record; :class:`BadRecord` ``quoting`` or ``columns`` if it has no proper structure."""
     if line is None or line == "":
         raise BadRecord("columns")
-    swap = "\r" in line or "\n" in line
-    if swap and ("\ue00d" in line or "\ue00a" in line):
-        fields = _split_slowly(line)
-    else:
-        try:
-            fields = next(csv.reader([line.translate(_HIDE) if swap else line], strict=True))
-        except (csv.Error, StopIteration):
-            raise BadRecord("quoting") from None
-        # the reader accepts a quote inside a field that does not start with one
-        if '"' in line and _BARE_QUOTE.search(_QUOTED.sub(r"\1", line)):
-            raise BadRecord("quoting")
-        if swap:
-            fields = [f.translate(_SHOW) for f in fields]
+    # line ends inside a record are ordinary characters of a field; the reader would take them for the end of the record
+    ends = [c for c in "\r\n" if c in line]
+    hide = dict(zip(ends, _absent(line))) if ends else {}
+    try:
+        fields = next(csv.reader([line.translate(str.maketrans(hide)) if hide else line], strict=True))
+    except (csv.Error, StopIteration):
+        raise BadRecord("quoting") from None
+    # the reader accepts a quote inside a field that does not start with one
+    if '"' in line and _BARE_QUOTE.search(_QUOTED.sub(r"\1", line)):
+        raise BadRecord("quoting")
+    if hide:
+        show = str.maketrans({v: k for k, v in hide.items()})
+        fields = [f.translate(show) for f in fields]
     if len(fields) != len(FIELDS):
         raise BadRecord("columns")
     return fields
 
 
-def _split_slowly(line: str) -> list[str]:
-    """For the rare record that holds both line ends and the private characters that stand in for them."""
-    fields, at = [], 0
-    while True:
-        if line[at : at + 1] == '"':
-            m = re.compile(r'"((?:[^"]|"")*)"(?=,|\Z)').match(line, at)
-            if not m:
-                raise BadRecord("quoting")
-            fields.append(m[1].replace('""', '"'))
-            at = m.end()
-        else:
-            end = line.find(",", at)
-            end = len(line) if end < 0 else end
-            if '"' in line[at:end]:
-                raise BadRecord("quoting")
-            fields.append(line[at:end])
-            at = end
-        if at >= len(line):
-            return fields
-        at += 1
+def _absent(line: str) -> Iterator[str]:
+    """Characters that the record does not hold, private ones first."""
+    return (c for c in map(chr, chain(_PRIVATE_USE, range(0xF0000, 0x110000))) if c not in line)
 
 
 def parse_time(text: str) -> datetime:
