@@ -347,7 +347,7 @@ def _spread(ctx: DataFrame, levels: Levels) -> DataFrame:
         return rows.join(more, key)
 
     alive = written(shared(windows(ctx, [0, levels.base], half)).select("h", "w").distinct(), "alive")
-    found = shared(windows(ctx.join(alive, ["h", "w"], "left_semi"), list(range(reach + 1)), n))
+    found = shared(windows(ctx.join(alive.hint("shuffle_hash"), ["h", "w"], "left_semi"), list(range(reach + 1)), n))
     return found.groupBy("h", "w").agg(F.max("back").cast("int").alias("left"), (F.lit(n) - F.min("back")).cast("int").alias("right"))
 
 
