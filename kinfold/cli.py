@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import argparse
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +26,8 @@ class Arguments:
     host: str = ""
     port: int = 3306
     database: str = ""
+    url: str = ""
+    bounds: list[str] = field(default_factory=list)
     user: str = "root"
     password: str = ""
     external: str = ""
@@ -51,6 +53,8 @@ def parse(argv: list[str] | None = None) -> Arguments:
     p.add_argument("--host", default="")
     p.add_argument("--port", type=int, default=3306)
     p.add_argument("--database", default="", help="the database that holds the table of commits")
+    p.add_argument("--url", default="", help="JDBC address of the database, in place of host, port and database")
+    p.add_argument("--bounds", nargs="*", default=[], help="repositories at which the database's table is cut into parts read side by side")
     p.add_argument("--user", default="root")
     p.add_argument("--password", default="")
     p.add_argument("--external", default="", help="name of a registered matcher")
@@ -70,8 +74,8 @@ def parse(argv: list[str] | None = None) -> Arguments:
     args = Arguments(**vars(p.parse_args(argv)))
     if args.external and args.external not in MATCHERS:
         p.error(f"unknown matcher {args.external}; known: {sorted(MATCHERS)}")
-    if not args.commits and not args.host:
-        p.error("either --commits or --host is needed")
+    if not (args.commits or args.host or args.url):
+        p.error("one of --commits, --host and --url is needed")
     return args
 
 
@@ -81,7 +85,8 @@ def source(spark: SparkSession, args: Arguments) -> DataFrame:
     if args.commits:
         raw = S.group_commits(spark.read.parquet(args.commits))
     else:
-        raw = S.from_jdbc(spark, f"jdbc:mysql://{args.host}:{args.port}/{args.database}", {"user": args.user, "password": args.password})
+        url = args.url or f"jdbc:mysql://{args.host}:{args.port}/{args.database}"
+        raw = S.from_jdbc(spark, url, {"user": args.user, "password": args.password}, args.bounds)
     return S.cached(spark, raw, args.cache)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kinfold.functions.lists import FilterLists
@@ -58,10 +56,6 @@ def bridges(people: DataFrame, lists: FilterLists) -> DataFrame:
     return kinds.where("n = 2 AND blank").select("name_key", "src", "dst")
 
 
-def union_all(*frames: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def propagate_ids(labelled: DataFrame, conflict: str = "conflict") -> DataFrame:
     """(component, external_id, conflict): the one id of each component, '' if it has none; ``conflict`` if it has several."""
     known: Column = F.when(F.col("external_id") != "", F.col("external_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from kinfold.functions.clean import clean
@@ -40,13 +42,23 @@ def with_order(signatures: DataFrame) -> DataFrame:
     return dense_numbers(signatures, ["repo", "name", "email"], "row_ix")
 
 
-def from_jdbc(spark: SparkSession, url: str, properties: dict[str, str] | None = None) -> DataFrame:
-    """The source aggregate, run by the database; null as the empty string."""
-    reader = spark.read.format("jdbc").option("url", url).option("query", DISCOVERY_SQL)
-    for key, value in (properties or {}).items():
-        reader = reader.option(key, value)
-    df = reader.load().toDF("repo", "name", "email", "hash", "ts")
-    return with_order(df.fillna("", ["repo", "name", "email", "hash"]))
+def repository_ranges(bounds: Sequence[str]) -> list[str]:
+    """Conditions that cut the repositories at ``bounds``, sorted; every row meets just one of them."""
+    quoted = ["'" + b.replace("'", "''") + "'" for b in bounds]
+    if not quoted:
+        return ["1 = 1"]
+    inner = [f"repository_id >= {a} AND repository_id < {b}" for a, b in zip(quoted, quoted[1:])]
+    return [f"repository_id < {quoted[0]} OR repository_id IS NULL", *inner, f"repository_id >= {quoted[-1]}"]
+
+
+def from_jdbc(spark: SparkSession, url: str, properties: dict[str, str] | None = None, bounds: Sequence[str] = ()) -> DataFrame:
+    """The source aggregate, run by the database; null as the empty string.
+
+    ``bounds``: repositories at which the table is cut into parts that are
+    aggregated and read side by side; groups never cross them.
+    """
+    df = spark.read.jdbc(url, f"({DISCOVERY_SQL}) signatures", predicates=repository_ranges(sorted(bounds)), properties=properties or {})
+    return with_order(df.toDF("repo", "name", "email", "hash", "ts").fillna("", ["repo", "name", "email", "hash"]))
 
 
 def cleaned(signatures: DataFrame) -> DataFrame:

@@ -26,8 +26,3 @@ def windowed_counts(commits: DataFrame, column: str, window: str = "30 days", la
     if rows.isStreaming:
         rows = rows.withWatermark("t", late)
     return rows.groupBy(F.window("t", window).alias("w"), "value").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "value", "n")
-
-
-def first_seen_stream(commits: DataFrame, column: str, late: str = "7 days", when: str = "loaded_at") -> DataFrame:
-    """Each commit once, however often it was loaded within ``late``."""
-    return commits.withWatermark(when, late).dropDuplicatesWithinWatermark([column]) if commits.isStreaming else commits.dropDuplicates([column])

@@ -292,6 +292,91 @@ def test_command_line(spark, tmp_path, capsys):
         cli.parse(["--output", "x", "--commits", "c", "--external", "nobody"])
 
 
+def test_database_to_database(spark, tmp_path, capsys):
+    """The run reads a database, in parts, and loads both tables into one; Spark brings a small database along."""
+    from kinfold import cli
+
+    url = f"jdbc:derby:{tmp_path / 'db'};create=true"
+    rows = commits(spark, [*COMMITS, ("", "Nobody", "n@google.com", "ff", datetime(2020, 1, 1)), ("s'", "Cy", "cy@google.com", "gg", datetime(2020, 1, 1))])
+    wide = ", ".join(f"{c} VARCHAR(200)" for c in ("REPOSITORY_ID", "COMMIT_AUTHOR_NAME", "COMMIT_AUTHOR_EMAIL", "COMMIT_HASH"))
+    stored = rows.drop("id", "name", "row_ix")
+    stored.toDF(*[c.upper() for c in stored.columns]).write.option("createTableColumnTypes", wide).jdbc(url, "commits")
+    pick = lambda df: sorted(tuple(r) for r in df.select("repo", "name", "email", "hash", "ts").collect())
+    want = pick(S.group_commits(rows))
+    assert pick(S.from_jdbc(spark, url)) == want
+    parts = S.from_jdbc(spark, url, bounds=["s'", "repo2"])
+    assert pick(parts) == want and sorted(r.row_ix for r in parts.collect()) == list(range(1, len(want) + 1))
+    args = cli.parse(["--output", str(tmp_path / "o"), "--url", url, "--user", "APP", "--load-user", "APP", "--bounds", "repo2", "--min-count", "1", "--load-url", url, "--load-aliases", "al", "--load-identities", "idn"])
+    a, i = cli.run(spark, args, datetime(2020, 6, 1))
+    for path, name in ((a, "al"), (i, "idn")):
+        stored, loaded = spark.read.parquet(path), spark.read.jdbc(url, name)
+        assert sorted(map(tuple, loaded.select(*stored.columns).collect())) == sorted(map(tuple, stored.collect())) != []
+        assert sorted(r[0] for r in loaded.select("index").collect()) == list(range(stored.count()))
+    with pytest.raises(Exception, match="exists"):
+        sinks.to_database(spark.range(1), url, "idn")
+
+
+def by_definition(rows, matched, lists_popular, limit):
+    """Edges one after another as the definition has them, with components walked anew each time: (id, key, mail, external)."""
+    near, external = {i: set() for i, *_ in rows}, {i: x for i, _, _, x in rows}
+
+    def side(i):
+        seen, stack = {i}, [i]
+        while stack:
+            for j in near[stack.pop()] - seen:
+                seen.add(j)
+                stack.append(j)
+        return seen
+
+    def size(i):
+        own = side(i)
+        return len({m for j, _, m, _ in rows if j in own}) + len({k for j, k, _, _ in rows if j in own})
+
+    def edge(a, b):
+        known = external[a] or external[b]
+        if external[a] and external[b] and external[a] != external[b]:
+            return False
+        near[a].add(b)
+        near[b].add(a)
+        for j in side(a):
+            external[j] = known
+        return True
+
+    first = {}
+    for i, _, _, x in rows:
+        if x and first.setdefault(("x", x), i) != i:
+            edge(first["x", x], i)
+    for i, _, m, _ in rows:
+        if m not in matched and first.setdefault(("m", m), i) != i:
+            edge(first["m", m], i)
+    buckets = {}
+    for i, k, _, _ in rows:
+        if k not in lists_popular:
+            own = buckets.setdefault(k, {})
+            anchor = own.setdefault(external[i], i)
+            if anchor != i and size(i) < limit and size(anchor) < limit:
+                edge(anchor, i)
+    for k in sorted(buckets):
+        if len(buckets[k]) == 2 and "" in buckets[k]:
+            a, b = buckets[k].values()
+            if size(a) < limit and size(b) < limit:
+                edge(a, b)
+    return {i: min(side(i)) for i, *_ in rows}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_accounts_and_limit_by_definition(spark, seed):
+    rnd = random.Random(seed)
+    known = {f"e{k}@x.com": f"U{k % 4}" for k in range(0, 18, 3)}
+    rows = [(i, f"n{rnd.randrange(9)}", "", f"e{rnd.randrange(18)}@x.com") for i in range(1, 46)]
+    df = people(spark, rows).repartition(4)
+    matches = spark.createDataFrame(list(known.items()), "email string, user string")
+    with_ids = external.with_accounts(df, matches)
+    for limit in (4, 100):
+        got = {r.id: r.component for r in L.limited_components(with_ids, LISTS, limit, external.unmatched(df, matches)).collect()}
+        assert got == by_definition([(i, n, e, known.get(e, "")) for i, n, _, e in rows], known, {"bob"}, limit), limit
+
+
 def test_two_runs_share_the_answers_of_a_matcher(spark, tmp_path, capsys):
     from kinfold import cli
 
