@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from kinfold.functions.lists import FilterLists
@@ -43,6 +45,12 @@ def name_rows(people: DataFrame, lists: FilterLists) -> DataFrame:
     return with_key(people).where(~lists.is_popular_name(F.col("name_key"))).select("id", "name_key")
 
 
+def stars(*kinds: tuple[DataFrame, str]) -> DataFrame:
+    """(src, dst) star edges of several (rows, key column), all of them in the same shuffles."""
+    rows = [df.select("id", F.lit(n).alias("kind"), F.col(key).alias("key")) for n, (df, key) in enumerate(kinds)]
+    return star_edges(reduce(DataFrame.unionByName, rows), ["kind", "key"])
+
+
 def bridges(people: DataFrame, lists: FilterLists) -> DataFrame:
     """(name_key, src, dst): names seen with exactly one external id and also without one link the two firsts.
 

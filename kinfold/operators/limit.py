@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kinfold.functions.lists import FilterLists
 from kinfold.operators.components import label_all
-from kinfold.operators.edges import email_rows, name_rows, star_edges
+from kinfold.operators.edges import email_rows, name_rows, stars
 from kinfold.operators.persons import with_key
 from kinfold.operators.skew import lookup_join
 from kinfold.session import ship, written
@@ -128,8 +128,7 @@ def limited_components(people: DataFrame, lists: FilterLists, limit: int = DEFAU
     if "external_id" not in people.columns:
         people = people.withColumn("external_id", F.lit(""))
     mails, names = email_rows(people, lists, unmatched), name_rows(people, lists)
-    known = people.where("external_id <> ''").select("id", F.col("external_id").alias("email"))
-    edges = star_edges(mails, ["email"]).union(star_edges(names, ["name_key"])).union(star_edges(known, ["email"]))
+    edges = stars((mails, "email"), (names, "name_key"), (people.where("external_id <> ''"), "external_id"))
     super_ = written(label_all(people.select("id").distinct(), edges), "super")
     rows = (
         with_key(people).select("id", "external_id", "name_key", "email")

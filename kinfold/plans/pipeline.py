@@ -81,8 +81,7 @@ class Run:
     def full_labels(self) -> DataFrame:
         """Components by address and name, without a limit."""
         people, lists = self.stored_people, self.settings.lists
-        by_mail = E.star_edges(E.email_rows(people, lists, self.unmatched), ["email"])
-        return label_all(people, by_mail.union(E.star_edges(E.name_rows(people, lists), ["name_key"])))
+        return label_all(people, E.stars((E.email_rows(people, lists, self.unmatched), "email"), (E.name_rows(people, lists), "name_key")))
 
     @property
     def labels(self) -> DataFrame:

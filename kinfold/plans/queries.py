@@ -294,9 +294,7 @@ def research_union_find(spark: SparkSession, d: str) -> DataFrame:
     run = run_on(spark, d)
     lists = run.settings.lists
     pairs = S.first_seen(run.people, "id").withColumnRenamed("ix", "id")
-    by_mail = E.star_edges(pairs.where(~lists.is_popular_email(F.col("email"))), ["email"])
-    by_name = E.star_edges(pairs.where(~lists.is_popular_name(F.col("name"))), ["name"])
-    return label_all(pairs, by_mail.union(by_name))
+    return label_all(pairs, E.stars((pairs.where(~lists.is_popular_email(F.col("email"))), "email"), (pairs.where(~lists.is_popular_name(F.col("name"))), "name")))
 
 
 # --- external accounts
