@@ -160,6 +160,40 @@ def test_a_large_shard_is_linked_whole(spark):
     assert not {r.value for r in got} & set(others)
 
 
+STRANGERS = ["Bruno Kalmet", "Dagny Ostrel", "Fenja Piltov", "Gustav Rembik", "Hedda Solvan", "Ivo Trunek", "Jorun Valdem", "Kaspar Wendig", "Livia Xantor", "Milan Yorvet", "Nora Zelnik", "Oskar Brandov", "Petra Cimrak"]
+
+
+def entities(spark, rows):
+    got = {}
+    for r in spellings.spelling_entities(spark.createDataFrame(rows, "n string, e string"), "n", "e").collect():
+        got.setdefault(r.entity, set()).add(r.value)
+    return sorted(map(sorted, got.values()))
+
+
+def test_many_spellings_of_few_people_keep_evidence(spark):
+    """More than 12 names of one person, or of two, at one address or under one mailbox name are no crowd."""
+    spelled = [f"Ottokar Wilberforce{c}ottir" for c in "abcdefghijklmn"]
+    short = ["Otto Wilberforcedottir", "owilberforcedottir"]
+    at_home = [(n, "dd77@x.example") for n in [*spelled, *short, "Kim Pastrel"]]
+    assert entities(spark, at_home) == [sorted(spelled + short)]
+    spread = [(n, f"ottowilb77@d{i}.example") for i, n in enumerate([*spelled, *short, "Kim Pastrel"])]
+    assert entities(spark, spread) == [sorted(spelled + short)]
+
+
+def test_names_of_a_shared_mailbox_are_compared_whole(spark):
+    team = "team@x.example"
+    rows = [(n, team) for n in [*STRANGERS, "Robot1 Build", "Robot2 Build"]]
+    rows += [("Ulrike Wolatinez", team), ("Wolatimez, Ulrike", team)]  # nobody knows either from elsewhere
+    rows += [("Maren Wolatinez", team)]  # a family name alone tells nothing there
+    rows += [("Lukas Noretinkova", team), ("Lukas Noretinkovy", team), ("Lukas Noretinkova", "ln1@a.example"), ("Lukas Noretinkovy", "ln2@b.example")]  # both known: namesakes
+    rows += [("Lukas Noretinkovo", team)]  # either of them
+    rows += [("Ingeborg Tasmerin", team), ("Ingeborg Tasmerim", team), ("Ingeborg Tasmerin", "it@a.example"), ("I. Tasmerin", "it@a.example")]
+    rows += [("Thekla Dorvanes", team), ("Thekla Dorvames", "team@y.example")]  # the same mailbox name elsewhere
+    want = [["I. Tasmerin", "Ingeborg Tasmerim", "Ingeborg Tasmerin"], ["Thekla Dorvames", "Thekla Dorvanes"], ["Ulrike Wolatinez", "Wolatimez, Ulrike"]]
+    assert entities(spark, rows) == want
+    assert entities(spark, rows + [(n, "team@y.example") for n in STRANGERS]) == want
+
+
 def test_pieces_bring_near_forms_together():
     rnd = random.Random(3)
     words = ["".join(rnd.choices("ab", k=rnd.randrange(1, 12))) for _ in range(400)]
